@@ -17,6 +17,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,3 +91,33 @@ def pieces(offsets: np.ndarray, most: int):
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
         yield lo, min(hi, n)
         lo = min(hi, n)
+
+
+def gathered(values: np.ndarray, begins: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[begins[p]:begins[p + 1]] for all picks one after the other, and their sizes."""
+    first = begins[picks]
+    sizes = begins[picks + 1] - first
+    at = np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+    return values[at], sizes
+
+
+def squeeze(*arrays) -> bytes:
+    """Arrays as one compressed blob, integers split into byte planes."""
+    parts = []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        planes = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() if a.itemsize > 1 else a.tobytes()
+        z = zstandard.compress(planes, 3)
+        parts += [np.array([len(a), a.itemsize, len(z)], "<u4").tobytes(), z]
+    return b"".join(parts)
+
+
+def expand(blob: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    kinds = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+    while at < len(blob):
+        n, width, z = (int(x) for x in np.frombuffer(blob, "<u4", 3, at))
+        raw = np.frombuffer(zstandard.decompress(blob[at + 12 : at + 12 + z], max_output_size=max(1, n * width)), np.uint8) if n else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(width, n).T).view(kinds[width]).ravel() if n else np.zeros(0, kinds[width]))
+        at += 12 + z
+    return out

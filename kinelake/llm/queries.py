@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from kinelake.llm import exact_dedup, mixing
+from kinelake.llm.byte_bpe import op4_byte_bpe
+from kinelake.llm.exact_dedup import op5_exact_dedup
+from kinelake.llm.mixing import op10_mixing
 from kinelake.llm.repeated_spans import op1_suffix_array_dedup
+from kinelake.llm.sharding import op6_sharding
 
 
 def queries() -> dict:
-    return {"op1_suffix_array_dedup": op1_suffix_array_dedup}
+    listed = (op1_suffix_array_dedup, op4_byte_bpe, op5_exact_dedup, op6_sharding, op10_mixing)
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": exact_dedup.ORACLE_SQL, "op10_mixing": mixing.oracle_sql()}

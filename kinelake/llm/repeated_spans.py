@@ -3,25 +3,30 @@
 `remove_repeated_spans` takes out of each document every byte that is covered
 by a string of `length` bytes which also starts in a document with a smaller
 identifier.  Every string of that length belongs to one *anchor*: the substring
-of ANCHOR bytes inside it with the smallest hash.  Equal strings have equal
-anchors, so the strings that start in documents are dealt by anchor:
+of `anchor` bytes inside it with the smallest hash.  Equal strings have equal
+anchors.  A maximal run of starts with one anchor is a *segment*.
 
 1. Each group of documents sends the hashes of its anchors to buckets, each
-   once.  A bucket answers one bit a hash: does it occur in two documents?
-2. Strings of shared anchors travel as the maximal segments that have one
-   anchor, each distinct segment once a group with its smallest identifier.
-   An anchor found in very many groups sends its strings apart, dealt by their
-   own hashes, so no bucket gathers all contexts of a common phrase.
-3. A bucket sorts the suffixes of its distinct segments in two stages
-   (`two_stage_suffix_array`), takes common prefixes of neighbours, and so
-   knows the smallest document of every string; it answers one bit a string.
+   once.  A bucket answers whether a hash occurs in two documents.
+2. For such anchors the group sends a hash of each distinct segment and its
+   smallest document.  A bucket answers whether that is the smallest of all
+   groups, and whether the anchor has other segments too.
+3. Segments of anchors that have several are sent as bytes, once in all, by
+   the group of their smallest document.  A bucket sorts the suffixes of its
+   segments in two stages (`two_stage_suffix_array`), takes the common prefixes
+   of neighbours, and so knows the smallest document of every string; it
+   answers one bit a string.
 4. The group marks the covered bytes and cuts them out.
 
-Hashes decide only where bytes are compared; a hash collision costs time, not
-correctness.  Defined results: null text is empty; a null identifier orders
-after all others; rows with the same identifier do not cover each other; texts
-shorter than `length` stay whole; columns other than doc_id and text are not
-read.
+An anchor with very many segments would fill one bucket: its segments are dealt
+by their own hash in step 2 and its strings one by one in step 3.  Segments are
+taken as equal when the 64-bit hashes of their anchors and of their bytes both
+agree; strings are compared byte by byte.
+
+Defined results: null text is empty; a null identifier orders after all others;
+rows with the same identifier do not cover each other; texts shorter than
+`length` stay whole; columns other than doc_id and text are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,17 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, group_count, ids, in_groups, packed, pieces, table, text_bytes
+from kinelake.llm.common import NO_ID, expand, gathered, group_count, ids, in_groups, packed, pieces, squeeze, table, text_bytes
 
 LENGTH = 50
 ANCHOR = 24
 #: Bytes of text in a group, in one vectorised step, and in one suffix array.
-GROUP_MB, STEP, SORT_BYTES = 8, 1 << 20, 1 << 20
-#: Anchors in a bucket, about; groups that share an anchor before its strings travel apart.
-BUCKET_KEYS, COMMON = 1 << 20, 64
+GROUP_MB, STEP, SORT_BYTES = 8, 1 << 16, 1 << 20
+#: Anchors in a bucket, about.  An anchor is common with so many segments in one group, or in so many groups.
+BUCKET_KEYS, DENSE, COMMON = 1 << 19, 128, 1 << 14
 
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULT = np.uint64(0x9E3779B97F4A7C15)
+_MULT, _MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
 # -- suffix sorting ---------------------------------------------------------
@@ -161,9 +166,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
 def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
     """Of all strings of `length` bytes within rows: maximal runs of starts with one anchor.
 
-    Returns the row, the first start (in body), the count of starts and the
-    hash of the anchor, for each run.
+    Returns the row, the first start (in body), the count of starts, the hash of
+    the anchor and that of the segment, for each run.
     """
+    if length > 2.5 * anchor:
+        raise ValueError("four anchors must cover a segment: length may be 2.5 times anchor at most")
     got = []
     for lo, hi in pieces(offsets, STEP):
         base, end = int(offsets[lo]), int(offsets[hi])
@@ -172,23 +179,25 @@ def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, anchor: int) ->
             if until - at >= length:
                 got.append(_anchors_of(body[at:until], at, offsets, lo, hi, length, anchor, min(8 * STEP, end - at)))
     if not got:
-        z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return _NO_RUNS
     return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
 
+_NO_RUNS = (*[np.zeros(0, np.int64)] * 3, *[np.zeros(0, np.uint64)] * 2)
+
+
 def _anchors_of(x, base, offsets, lo, hi, length, anchor, most):
     h, width, total = _TABLE[x], 1, None
-    power, used = _MULT, 0
+    power, used = int(_MULT), 0
     left = anchor
     while left:  # hashes of 1, 2, 4 ... bytes, combined by the bits of the anchor's length
         if left & 1:
-            total = h if total is None else total[: len(total) - width] * power + h[used : used + len(total) - width]
+            total = h if total is None else total[: len(total) - width] * np.uint64(power) + h[used : used + len(total) - width]
             used += width
         left >>= 1
         if left:
-            h = h[:-width] * power + h[width:]
-            power, width = power * power, width * 2
+            h = h[:-width] * np.uint64(power) + h[width:]
+            power, width = (power * power) & _MASK, width * 2
     h = total[: len(x) - anchor + 1]
     h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -212,183 +221,273 @@ def _anchors_of(x, base, offsets, lo, hi, length, anchor, most):
     np.add.at(flags, np.maximum(e, b), -1)
     valid = np.flatnonzero(np.cumsum(flags)[:n] > 0)
     if not len(valid):
-        z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
+        return _NO_RUNS
     spot = spot[valid]
     row = np.searchsorted(ends, valid, "right")
     new = np.concatenate([[True], (spot[1:] != spot[:-1]) | (valid[1:] != valid[:-1] + 1) | (row[1:] != row[:-1])])
     heads = np.flatnonzero(new)
     count = np.diff(np.append(heads, len(valid)))
-    return row[heads] + lo, valid[heads] + base, count, h[spot[heads]]
+    first = valid[heads]
+    last = first + count + length - 1 - anchor
+    segment = np.zeros(len(heads), np.uint64)
+    for at in (first, np.minimum(first + anchor, last), np.maximum(last - anchor, first), last):
+        segment = (segment ^ h[at]) * _MULT
+        segment ^= segment >> np.uint64(31)
+    return row[heads] + lo, first + base, count, h[spot[heads]], segment ^ count.astype(np.uint64)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the (sorted) columns changes, the first row included."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 class _Group:
-    """A group of documents with its anchors; the same whenever it is made from the same rows."""
+    """A group of documents with its anchors and segments; the same whenever it is made from the same rows."""
 
     def __init__(self, data: pa.Table, length: int, anchor: int, buckets: int):
-        self.doc = ids(data["doc_id"])
+        doc = ids(data["doc_id"])
         body, offsets = packed(data["text"])
-        order = np.lexsort((np.arange(len(self.doc)), self.doc))
-        # rows of one identifier in the order of their texts, so that any arrival order gives one result
-        if len(order) > 1 and (self.doc[order][1:] == self.doc[order][:-1]).any():
+        order = np.argsort(doc, kind="stable")
+        if len(order) > 1 and (doc[order][1:] == doc[order][:-1]).any():
+            # rows of one identifier in the order of their texts, so that any arrival order gives one result
             raw = body.tobytes()
-            order = np.array(sorted(range(len(self.doc)), key=lambda i: (self.doc[i], raw[offsets[i] : offsets[i + 1]])))
-        self.order = order
-        rows = [body[offsets[i] : offsets[i + 1]] for i in order]
-        self.body = np.concatenate(rows) if rows else body
-        self.offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.doc = self.doc[order]
-        self.row, self.start, self.count, self.hash = _anchors(self.body, self.offsets, length, anchor)
-        self.keys, self.which = np.unique(self.hash, return_inverse=True)
-        self.length, self.buckets = length, buckets
+            order = np.array(sorted(range(len(doc)), key=lambda i: (doc[i], raw[offsets[i] : offsets[i + 1]])))
+        self.body, sizes = gathered(body, offsets, order)
+        self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.doc, self.length, self.buckets = doc[order], length, buckets
+        row, self.start, self.count, key, segment = _anchors(self.body, self.offsets, length, anchor)
+        self.run_doc = self.doc[row]
+        by = np.lexsort((self.run_doc, segment, key))
+        key, segment, owner = key[by], segment[by], self.run_doc[by]
+        heads = _heads(key, segment)
+        self.of_run = np.empty(len(by), np.int64)
+        self.of_run[by] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(by))))
+        # of each distinct segment: anchor, hash, least document, place, count of starts
+        self.key, self.segment, self.least, self.at, self.starts = key[heads], segment[heads], owner[heads], self.start[by][heads], self.count[by][heads]
+        first = _heads(self.key)
+        self.keys = self.key[first]
+        self.key_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(self.key))))
+        runs = _heads(key)
+        self.several = np.minimum.reduceat(owner, runs) < np.maximum.reduceat(owner, runs) if len(runs) else np.zeros(0, bool)
+        self.dense = np.bincount(self.key_of, minlength=len(self.keys)) >= DENSE
         self.cuts = np.searchsorted(_bucket(self.keys, buckets), np.arange(buckets + 1))
 
-    def key_blocks(self):
-        """For each bucket: five bytes a key, of which one bit tells that two documents here have it."""
-        doc = self.doc[self.row]
-        least = np.full(len(self.keys), NO_ID)
-        most = np.full(len(self.keys), np.iinfo(np.int64).min)
-        np.minimum.at(least, self.which, doc)
-        np.maximum.at(most, self.which, doc)
-        coded = (self.keys & np.uint64((1 << 39) - 1)) << np.uint64(1) | (least < most).astype(np.uint64)
-        wire = coded.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    def anchor_blocks(self):
+        """For each bucket: five bytes an anchor, of which two bits tell that two documents have it and that it is dense."""
+        coded = (self.keys & np.uint64((1 << 38) - 1)) << np.uint64(2) | self.several.astype(np.uint64) << np.uint64(1) | self.dense.astype(np.uint64)
         for b in range(self.buckets):
             if self.cuts[b] < self.cuts[b + 1]:
-                yield b, np.ascontiguousarray(wire[self.cuts[b] : self.cuts[b + 1]]).tobytes()
+                yield b, _five(coded[self.cuts[b] : self.cuts[b + 1]])
 
-    def segments(self, answers: dict[int, bytes]):
-        """Distinct segments of shared anchors, each with its least document, by bucket.
-
-        Also, for every run of starts here, the number of its segment (the
-        first, if its strings travel apart; -1: not shared).
-        """
-        shared = np.zeros(len(self.keys), bool)
-        common = np.zeros(len(self.keys), bool)
+    def read_anchors(self, answers: dict[int, bytes]):
+        shared, common = np.zeros(len(self.keys), bool), np.zeros(len(self.keys), bool)
         for b, blob in answers.items():
             n = self.cuts[b + 1] - self.cuts[b]
             bits = np.unpackbits(np.frombuffer(blob, np.uint8))
-            shared[self.cuts[b] : self.cuts[b + 1]] = bits[:n]
-            common[self.cuts[b] : self.cuts[b + 1]] = bits[n : 2 * n]
-        raw, seen, least, key, runs = self.body.tobytes(), {}, [], [], []
-        for k in np.flatnonzero(shared[self.which]).tolist():
-            start, count, doc, own = int(self.start[k]), int(self.count[k]), int(self.doc[self.row[k]]), self.which[k]
-            parts = [(raw[s : s + self.length], s, 1) for s in range(start, start + count)] if common[own] else [(raw[start : start + count + self.length - 1], start, count)]
-            for segment, at, starts in parts:
-                name = (segment, not common[own])
-                found = seen.get(name)
-                if found is None:
-                    found = seen[name] = len(least)
-                    least.append(doc)
-                    key.append(int(self.keys[own]) if not common[own] else int.from_bytes(hashlib.blake2b(segment, digest_size=8).digest(), "little"))
-                elif doc < least[found]:
-                    least[found] = doc
-                runs.append((found, doc, at, starts))
-        return [s for s, _ in seen], np.array(least, np.int64), np.array(key, np.uint64), np.array(runs, np.int64).reshape(-1, 4)
-
-
-REQUEST = "bucket int, g int, block binary"
-
-
-def _block(arrays: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"bucket": pa.int32(), "g": pa.int32(), "block": pa.binary()}
-    return pa.record_batch({k: pa.array(v, kinds[k]) for k, v in arrays.items()})
-
-
-def _answers(data: pa.Table) -> dict[int, bytes]:
-    return dict(zip(data["bucket"].to_pylist(), data["block"].to_pylist(), strict=True))
-
-
-def _segment_blocks(segments, least, key, buckets):
-    """(bucket, numbers of its segments in order, block) for every bucket that gets any."""
-    bucket = _bucket(key, buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        mine = order[cuts[b] : cuts[b + 1]]
-        if len(mine):
-            sizes = np.array([len(segments[i]) for i in mine], "<u4")
-            yield b, mine, np.uint32(len(mine)).tobytes() + sizes.tobytes() + key[mine].tobytes() + least[mine].tobytes() + b"".join(segments[i] for i in mine)
-
-
-def _unblock(blob: bytes):
-    n = int(np.frombuffer(blob, "<u4", 1)[0])
-    sizes = np.frombuffer(blob, "<u4", n, 4).astype(np.int64)
-    key = np.frombuffer(blob, np.uint64, n, 4 + 4 * n)
-    least = np.frombuffer(blob, np.int64, n, 4 + 12 * n)
-    return sizes, key, least, 4 + 20 * n
-
-
-def _least_documents(segments: list[bytes], least: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct segment, the least document of every string that starts in it."""
-    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).copy()
-    sizes = np.array([len(s) for s in segments])
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
-    text += 1  # UTF-8 has no byte above 0xF4, so 0 is free to end segments
-    text[begins + sizes] = 0
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    left = begins[owner] + sizes[owner] - np.arange(len(text))
-    order = two_stage_suffix_array(text, length)
-    order = order[left[order] >= length]
-    heads = np.flatnonzero(common_prefixes(text, order, length) < length)
+            shared[self.cuts[b] : self.cuts[b + 1]], common[self.cuts[b] : self.cuts[b + 1]] = bits[:n], bits[n : 2 * n]
+        self.common = common[self.key_of]
+        self.asked = np.flatnonzero(shared[self.key_of])
+        # a common anchor's segments are dealt by their own hash
+        name = np.where(self.common, self.segment, self.key)[self.asked]
+        bucket = _bucket(name, self.buckets)
+        by = np.argsort(bucket, kind="stable")
+        self.asked, self.name, bucket = self.asked[by], name[by], bucket[by]
+        self.ask_cuts = np.searchsorted(bucket, np.arange(self.buckets + 1))
+
+    def segment_blocks(self):
+        for b in range(self.buckets):
+            part = slice(self.ask_cuts[b], self.ask_cuts[b + 1])
+            mine = self.asked[part]
+            if len(mine):
+                name = (self.name[part] & np.uint64((1 << 39) - 1)) << np.uint64(1) | self.common[mine].astype(np.uint64)
+                yield b, squeeze(name, self.segment[mine], self.least[mine])
+
+    def read_segments(self, answers: dict[int, bytes]):
+        self.owned, self.sought = np.zeros(len(self.key), bool), np.zeros(len(self.key), bool)
+        for b, blob in answers.items():
+            mine = self.asked[self.ask_cuts[b] : self.ask_cuts[b + 1]]
+            bits = np.unpackbits(np.frombuffer(blob, np.uint8))
+            self.owned[mine], self.sought[mine] = bits[: len(mine)], bits[len(mine) : 2 * len(mine)]
+        sent = np.flatnonzero(self.owned & self.sought)
+        parts = np.where(self.common[sent], self.starts[sent], 1)
+        # units: whole segments, or the strings of a common anchor one by one
+        self.unit = np.repeat(sent, parts)
+        inner = np.arange(len(self.unit)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.unit_at = self.at[self.unit] + inner
+        self.unit_starts = np.where(self.common[self.unit], 1, self.starts[self.unit])
+        name = self.key[self.unit].copy()
+        raw = self.body
+        for i in np.flatnonzero(self.common[self.unit]).tolist():
+            at = self.unit_at[i]
+            name[i] = int.from_bytes(hashlib.blake2b(raw[at : at + self.length].tobytes(), digest_size=8).digest(), "little")
+        bucket = _bucket(name, self.buckets)
+        self.unit_by = np.argsort(bucket, kind="stable")
+        self.unit_name, self.unit_cuts = name, np.searchsorted(bucket[self.unit_by], np.arange(self.buckets + 1))
+
+    def unit_blocks(self):
+        for b in range(self.buckets):
+            mine = self.unit_by[self.unit_cuts[b] : self.unit_cuts[b + 1]]
+            if len(mine):
+                sizes = self.unit_starts[mine] + self.length - 1
+                begins = np.stack([self.unit_at[mine], self.unit_at[mine] + sizes], 1).ravel()
+                text, _ = gathered(self.body, begins, 2 * np.arange(len(mine)))
+                yield b, squeeze(sizes.astype(np.uint32), self.unit_name[mine], self.least[self.unit[mine]], text)
+
+    def covered(self, answers: dict[int, bytes]) -> np.ndarray:
+        """A flag for each byte."""
+        begins = np.concatenate([[0], np.cumsum(self.unit_starts)]).astype(np.int64)
+        hit = np.zeros(begins[-1], bool)
+        for b, blob in answers.items():
+            mine = self.unit_by[self.unit_cuts[b] : self.unit_cuts[b + 1]]
+            where, _ = gathered(np.arange(begins[-1]), begins, mine)
+            hit[where] = np.unpackbits(np.frombuffer(blob, np.uint8))[: len(where)]
+        asked = np.zeros(len(self.key), bool)
+        asked[self.asked] = True
+        cover = np.zeros(len(self.body) + 1, np.int32)
+        first = self.run_doc == self.least[self.of_run]
+        whole = np.flatnonzero(asked[self.of_run] & ~(first & self.owned[self.of_run]))
+        np.add.at(cover, self.start[whole], 1)
+        np.add.at(cover, self.start[whole] + self.count[whole] + self.length - 1, -1)
+        some = np.flatnonzero(first & (self.owned & self.sought)[self.of_run])
+        if len(some):
+            # the strings of a segment lie one after the other, whether they travelled together or not
+            heads = _heads(self.unit)
+            begin = np.zeros(len(self.key), np.int64)
+            begin[self.unit[heads]] = begins[heads]
+            spot = begin[self.of_run[some]]
+            span = np.stack([spot, spot + self.count[some]], 1).ravel()
+            flags, sizes = gathered(hit, span, 2 * np.arange(len(some)))
+            at = np.arange(len(flags)) + np.repeat(self.start[some] - (np.cumsum(sizes) - sizes), sizes)
+            np.add.at(cover, at[flags], 1)
+            np.add.at(cover, at[flags] + self.length, -1)
+        return np.cumsum(cover)[:-1] > 0
+
+
+def _five(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _from_five(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def _cut(parts: list[np.ndarray]) -> np.ndarray:
+    return np.cumsum([len(p) for p in parts])[:-1]
+
+
+def _share_anchors(blobs: list[bytes]) -> list[bytes]:
+    """A bit an anchor for: two documents have it; then a bit for: it is common."""
+    parts = [_from_five(b) for b in blobs]
+    every = np.concatenate(parts)
+    _, which, groups = np.unique(every >> np.uint64(2), return_inverse=True, return_counts=True)
+    shared, common = groups > 1, groups > COMMON
+    shared[which[(every & np.uint64(2)) > 0]] = True
+    common[which[(every & np.uint64(1)) > 0]] = True
+    return [np.packbits(np.concatenate([shared[w], common[w]])).tobytes() for w in np.split(which, _cut(parts))]
+
+
+def _share_segments(blobs: list[bytes]) -> list[bytes]:
+    """A bit a segment for: no group has a smaller document with it; then a bit for: its anchor has others."""
+    parts = [expand(b) for b in blobs]
+    name, segment, least = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    name, segment = name.view(np.uint64), segment.view(np.uint64)
+    by = np.lexsort((least, segment, name))
+    heads = _heads(name[by], segment[by])
+    sizes = np.diff(np.append(heads, len(by)))
+    owned, sought = np.zeros(len(by), bool), np.zeros(len(by), bool)
+    owned[by] = least[by] == np.repeat(least[by][heads], sizes)
+    _, of, kinds = np.unique(name[by][heads], return_inverse=True, return_counts=True)
+    sought[by] = np.repeat((kinds > 1)[of], sizes) | ((name[by] & np.uint64(1)) > 0)
+    cuts = _cut([p[0] for p in parts])
+    return [np.packbits(np.concatenate([o, s])).tobytes() for o, s in zip(np.split(owned, cuts), np.split(sought, cuts), strict=True)]
+
+
+def _least_documents(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+    """For the segments in text one after the other: the least document of every string, in order."""
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    marked = np.zeros(int(sizes.sum()) + len(sizes), np.uint8)
+    at = np.arange(len(text)) + np.repeat(np.arange(len(sizes)), sizes)
+    marked[at] = text + 1  # UTF-8 has no byte above 0xF4, so 0 is free to end segments
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
+    begin = np.zeros(len(marked), bool)
+    begin[at] = np.arange(len(text)) <= np.repeat(np.cumsum(sizes) - length, sizes)
+    order = two_stage_suffix_array(marked, length)
+    order = order[begin[order]]
+    heads = np.flatnonzero(common_prefixes(marked, order, length) < length)
     best = np.minimum.reduceat(least[owner[order]], heads)
-    of = np.zeros(len(text), np.int64)
+    of = np.zeros(len(marked), np.int64)
     of[order] = np.repeat(best, np.diff(np.append(heads, len(order))))
-    return [of[b : b + s - length + 1] for b, s in zip(begins, sizes, strict=True)]
+    return of[begin]
 
 
 def _judge(blobs: list[bytes], length: int) -> list[bytes]:
-    """Answers to the blocks of one bucket: a bit for each string, set if a smaller document has it."""
-    parsed = [_unblock(b) for b in blobs]
-    sizes = np.concatenate([p[0] for p in parsed])
-    key = np.concatenate([p[1] for p in parsed])
-    least = np.concatenate([p[2] for p in parsed])
-    source = np.repeat(np.arange(len(blobs)), [len(p[0]) for p in parsed])
-    at = np.concatenate([p[3] + np.cumsum(p[0]) - p[0] for p in parsed])
-    order = np.argsort(key, kind="stable")
-    out: list = [None] * len(key)
-    lo = 0
-    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(order) else np.zeros(0, int)
-    ends = np.append(starts[1:], len(order))
-    batch, batch_bytes = [], 0
-
-    def sort_batch():
-        nonlocal batch, batch_bytes
-        if not batch:
-            return
-        names = [s for group in batch for s in group]
-        docs = np.array([group[s][0] for group in batch for s in group], np.int64)
-        of = _least_documents(names, docs, length)
-        for s, best in zip((m for group in batch for m in group.values()), of, strict=True):
-            for i in s[1]:
-                out[i] = best < least[i]
-        batch, batch_bytes = [], 0
-
-    for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
-        group: dict[bytes, list] = {}
-        for i in order[lo:hi].tolist():
-            s = blobs[source[i]][at[i] : at[i] + sizes[i]]
-            found = group.get(s)
-            if found is None:
-                group[s] = [least[i], [i]]
-            else:
-                found[0] = min(found[0], least[i])
-                found[1].append(i)
-        if len(group) == 1:  # one segment: all of its strings have its least document
-            (best, members), = group.values()
-            for i in members:
-                out[i] = np.full(sizes[i] - length + 1, best < least[i])
-            continue
-        batch.append(group)
-        batch_bytes += sum(map(len, group))
-        if batch_bytes >= SORT_BYTES:
-            sort_batch()
-    sort_batch()
-    cuts = np.cumsum([0] + [len(p[0]) for p in parsed])
-    return [np.packbits(np.concatenate(out[a:b])).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    """A bit for each string of the units of one bucket: a smaller document has it."""
+    parts = [expand(b) for b in blobs]
+    sizes, name, least, text = (np.concatenate([p[k] for p in parts]) for k in range(4))
+    sizes = sizes.astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    out_at = np.concatenate([[0], np.cumsum(sizes - length + 1)])
+    out = np.zeros(out_at[-1], bool)
+    by = np.argsort(name, kind="stable")
+    heads = _heads(name[by])
+    runs = np.diff(np.append(heads, len(by)))
+    by = by[np.repeat(runs > 1, runs)]  # a name alone has no equal
+    if len(by):
+        heads = np.append(_heads(name[by]), len(by))
+        filled = np.concatenate([[0], np.cumsum(sizes[by])])[heads]
+        lo = 0
+        while lo < len(heads) - 1:
+            hi = max(lo + 1, int(np.searchsorted(filled, filled[lo] + SORT_BYTES, "right")) - 1)
+            mine = by[heads[lo] : heads[hi]]
+            best = _least_documents(gathered(text, at, mine)[0], sizes[mine], least[mine], length)
+            where, n = gathered(np.arange(len(out)), out_at, mine)
+            out[where] = best < np.repeat(least[mine], n)
+            lo = hi
+    cuts = out_at[np.cumsum([0] + [len(p[0]) for p in parts])]
+    return [np.packbits(out[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+_REQUEST = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("block", pa.binary())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
+REQUEST, RESULT = "bucket int, g int, block binary", "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>"
+
+
+def _requests(g: int, blocks) -> pa.Table:
+    listed = list(blocks)
+    return pa.Table.from_arrays([pa.array([b for b, _ in listed], pa.int32()), pa.array([g] * len(listed), pa.int32()), pa.array([x for _, x in listed], pa.binary())], schema=_REQUEST)
+
+
+def _replies(bucket: int, data: pa.Table, answer) -> pa.Table:
+    blobs = answer(data["block"].to_pylist())
+    return pa.Table.from_arrays([pa.array([bucket] * len(blobs), pa.int32()), data["g"].combine_chunks(), pa.array(blobs, pa.binary())], schema=_REQUEST)
+
+
+def _by_step(answers: pa.Table) -> dict[str, dict[int, bytes]]:
+    out: dict = {"anchors": {}, "segments": {}, "strings": {}}
+    for step, bucket, block in zip(answers["step"].to_pylist(), answers["bucket"].to_pylist(), answers["block"].to_pylist(), strict=True):
+        out[step][bucket] = block
+    return out
+
+
+def _cut_out(group: _Group, gone: np.ndarray) -> pa.Table:
+    columns: list[list] = [[], [], [], [], [], []]
+    for doc, a, b in zip(group.doc.tolist(), group.offsets[:-1], group.offsets[1:], strict=True):
+        mask = gone[a:b]
+        edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
+        spans = np.stack([np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)], 1)
+        for column, x in zip(columns, (None if doc == NO_ID else doc, b - a, int(mask.sum()), len(spans), group.body[a:b][~mask].tobytes(), spans.tolist()), strict=True):
+            column.append(x)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT, strict=True)], schema=_RESULT)
 
 
 def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -399,93 +498,44 @@ def remove_repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = A
     total = text_bytes(docs)
     groups = group_count(total, GROUP_MB)
     buckets = max(1, round(total * 2 / (length - anchor + 2) / BUCKET_KEYS))
-    common = COMMON
     rows = in_groups(docs, groups)
 
-    def send_keys(key, data):
-        out = list(_Group(data, length, anchor, buckets).key_blocks())
-        yield _block({"bucket": [b for b, _ in out], "g": [key[0].as_py()] * len(out), "block": [x for _, x in out]})
-
-    def share(key, data):
-        blobs = data["block"].to_pylist()
-        keys = []
-        for blob in blobs:
-            wide = np.zeros((len(blob) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-            keys.append(wide.view("<u8").ravel())
-        every = np.concatenate(keys)
-        distinct, which, count = np.unique(every >> np.uint64(1), return_inverse=True, return_counts=True)
-        several = count > 1
-        several[which[(every & np.uint64(1)) > 0]] = True
-        far = several & (count > common)
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        answer = [np.packbits(np.concatenate([several[w], far[w]])).tobytes() for w in np.split(which, cuts)]
-        yield _block({"bucket": [key[0].as_py()] * len(answer), "g": data["g"].to_pylist(), "block": answer})
-
-    def send_segments(key, data, answers):
-        if data.num_rows:
-            group = _Group(data, length, anchor, buckets)
-            segments, least, names, _ = group.segments(_answers(answers))
-            out = list(_segment_blocks(segments, least, names, buckets))
-            yield _block({"bucket": [b for b, _, _ in out], "g": [key[0].as_py()] * len(out), "block": [x for _, _, x in out]})
-
-    def judge(key, data):
-        answer = _judge(data["block"].to_pylist(), length)
-        yield _block({"bucket": [key[0].as_py()] * len(answer), "g": data["g"].to_pylist(), "block": answer})
+    def ask_anchors(key, data):
+        return _requests(key[0].as_py(), _Group(data, length, anchor, buckets).anchor_blocks())
 
-    def cut(key, data, answers):
+    def ask_segments(key, data, answers):
         if not data.num_rows:
-            return
+            return _REQUEST.empty_table()
         group = _Group(data, length, anchor, buckets)
-        replies = {"shared": {}, "judged": {}}
-        for kind, b, blob in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["block"].to_pylist(), strict=True):
-            replies[kind][b] = blob
-        segments, least, names, runs = group.segments(replies["shared"])
-        starts = np.array([len(s) - length + 1 for s in segments], np.int64)
-        bits: list = [None] * len(segments)
-        for b, mine, _ in _segment_blocks(segments, least, names, buckets):
-            flat = np.unpackbits(np.frombuffer(replies["judged"][b], np.uint8))
-            for i, part in zip(mine, np.split(flat[: starts[mine].sum()], np.cumsum(starts[mine])[:-1]), strict=True):
-                bits[i] = part.astype(bool)
-        cover = np.zeros(len(group.body) + 1, np.int32)
-        for number, doc, at, count in runs.tolist():
-            if doc > least[number]:
-                cover[at] += 1
-                cover[at + count + length - 1] -= 1
-            else:
-                hit = np.flatnonzero(bits[number]) + at
-                np.add.at(cover, hit, 1)
-                np.add.at(cover, hit + length, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        n_removed, n_spans, kept, spans, n_bytes = [], [], [], [], []
-        for a, b in zip(group.offsets[:-1], group.offsets[1:], strict=True):
-            mask = gone[a:b]
-            edge = np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))
-            first, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-            n_bytes.append(b - a)
-            n_removed.append(int(mask.sum()))
-            n_spans.append(len(first))
-            kept.append(group.body[a:b][~mask].tobytes())
-            spans.append(np.stack([first, last], 1).tolist())
-        doc = [None if d == NO_ID else d for d in group.doc.tolist()]
-        yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int64())))})
-
-    shared = rows.groupBy("g").applyInArrow(lambda k, t: _one(send_keys(k, t), REQUEST), REQUEST).groupBy("bucket").applyInArrow(lambda k, t: _one(share(k, t), REQUEST), REQUEST)
-    wanted = rows.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(lambda k, a, b: _one(send_segments(k, a, b), REQUEST), REQUEST)
-    judged = wanted.groupBy("bucket").applyInArrow(lambda k, t: _one(judge(k, t), REQUEST), REQUEST)
-    replies = shared.withColumn("kind", F.lit("shared")).unionByName(judged.withColumn("kind", F.lit("judged")))
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>"
-    return rows.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(lambda k, a, b: _one(cut(k, a, b), out), out)
-
-
-_EMPTY = {
-    REQUEST: pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("block", pa.binary())]),
-}
-
-
-def _one(batches, schema: str) -> pa.Table:
-    got = list(batches)
-    return pa.Table.from_batches(got) if got else pa.Table.from_batches([], _EMPTY[schema] if schema in _EMPTY else pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))]))
+        group.read_anchors(_by_step(answers)["anchors"])
+        return _requests(key[0].as_py(), group.segment_blocks())
+
+    def ask_strings(key, data, answers):
+        if not data.num_rows:
+            return _REQUEST.empty_table()
+        group, got = _Group(data, length, anchor, buckets), _by_step(answers)
+        group.read_anchors(got["anchors"])
+        group.read_segments(got["segments"])
+        return _requests(key[0].as_py(), group.unit_blocks())
+
+    def cut(key, data, answers):
+        if not data.num_rows:
+            return _RESULT.empty_table()
+        group, got = _Group(data, length, anchor, buckets), _by_step(answers)
+        group.read_anchors(got["anchors"])
+        group.read_segments(got["segments"])
+        return _cut_out(group, group.covered(got["strings"]))
+
+    def answered(asked: DataFrame, step: str, answer) -> DataFrame:
+        return asked.groupBy("bucket").applyInArrow(lambda k, t: _replies(k[0].as_py(), t, answer), REQUEST).withColumn("step", F.lit(step))
+
+    def again(replies: DataFrame, f, schema: str) -> DataFrame:
+        return rows.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(f, schema)
+
+    replies = answered(rows.groupBy("g").applyInArrow(ask_anchors, REQUEST), "anchors", _share_anchors)
+    replies = replies.unionByName(answered(again(replies, ask_segments, REQUEST), "segments", _share_segments))
+    replies = replies.unionByName(answered(again(replies, ask_strings, REQUEST), "strings", lambda blobs: _judge(blobs, length)))
+    return again(replies, cut, RESULT)
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

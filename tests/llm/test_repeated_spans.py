@@ -59,7 +59,7 @@ def test_equals_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(rs, "BUCKET_KEYS", 100)
     monkeypatch.setattr(rs, "STEP", 200)
     monkeypatch.setattr(rs, "SORT_BYTES", 500)
-    monkeypatch.setattr(rs, "COMMON", 4 if seed == 1 else 64)
+    monkeypatch.setattr(rs, "COMMON", 4 if seed == 1 else 1 << 14)
     rows = corpus(seed)
     assert got(spark, rows) == brute(rows)
 
