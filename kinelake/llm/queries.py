@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from kinelake.llm import exact_dedup, mixing
+from kinelake.llm.ann import op9_ann
 from kinelake.llm.byte_bpe import op4_byte_bpe
 from kinelake.llm.exact_dedup import op5_exact_dedup
 from kinelake.llm.minhash_dedup import op8_minhash_dedup
@@ -12,7 +13,7 @@ from kinelake.llm.sharding import op6_sharding
 
 
 def queries() -> dict:
-    listed = (op1_suffix_array_dedup, op4_byte_bpe, op5_exact_dedup, op6_sharding, op8_minhash_dedup, op10_mixing)
+    listed = (op1_suffix_array_dedup, op4_byte_bpe, op5_exact_dedup, op6_sharding, op8_minhash_dedup, op9_ann, op10_mixing)
     return {f.__name__: f for f in listed}
 
 
