@@ -74,15 +74,20 @@ class _Numbers(dict):
         return n
 
 
-def _words(sizes: np.ndarray, body: np.ndarray) -> list[bytes]:
+def words_of(sizes: np.ndarray, body: np.ndarray) -> list[bytes]:
     raw, ends = body.tobytes(), np.cumsum(sizes.astype(np.int64)).tolist()
     return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-def _pack(batches, pattern: str):
+def pattern_split(pattern: str):
     import regex
 
-    split = regex.compile(pattern).findall
+    found = regex.compile(pattern).findall
+    return lambda raw: found(raw.decode("utf-8", "replace"))
+
+
+def pack(batches, split):
+    """Blocks of documents: identifiers, word counts, word numbers by position, sizes and bytes of the distinct words."""
     for batch in batches:
         doc = ids(batch.column("doc_id"))
         body, offsets = packed(batch.column("text"))
@@ -90,11 +95,11 @@ def _pack(batches, pattern: str):
         for lo, hi in pieces(offsets, BLOCK_BYTES):
             number, counts, seqs = _Numbers(), [], []
             for i in range(lo, hi):
-                found = split(raw[offsets[i] : offsets[i + 1]].decode("utf-8", "replace"))
+                found = split(raw[offsets[i] : offsets[i + 1]])
                 seqs.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
                 counts.append(len(found))
             seq = np.concatenate(seqs)
-            words = [w.encode() for w in number]
+            words = [w if isinstance(w, bytes) else w.encode() for w in number]
             # frequent words get small numbers; ties by the words, which makes a block independent of hashing
             rank = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
             place = np.empty(len(words), np.uint32)
@@ -105,7 +110,12 @@ def _pack(batches, pattern: str):
             yield pa.record_batch({"g": pa.array([name], pa.int64()), "block": pa.array([blob], pa.binary())})
 
 
-def _dealt(words: list[bytes], buckets: int) -> list[tuple[int, list[int]]]:
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text (null: empty), sorted within partitions so that blocks come out the same again."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions("doc_id", "text")
+
+
+def dealt(words: list[bytes], buckets: int) -> list[tuple[int, list[int]]]:
     """Word numbers by bucket, in the order of the words."""
     out: dict[int, list[int]] = {}
     for i in sorted(range(len(words)), key=words.__getitem__):
@@ -123,15 +133,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     blocks = group_count(text_bytes(docs), BLOCK_BYTES / 1e6)
     # each block of text brings some tens of thousands of words
     buckets = max(1, round(blocks * BLOCK_BYTES / 200 / BUCKET_WORDS))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions("doc_id", "text")
-    packs = rows.mapInArrow(lambda it: _pack(it, known.value.pattern), "g long, block binary").repartition(blocks, "g")
+    packs = in_order(docs).mapInArrow(lambda it: pack(it, pattern_split(known.value.pattern)), "g long, block binary").repartition(blocks, "g")
 
     def ask(batches):
         for batch in batches:
             for g, block in zip(batch.column("g").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 _, _, _, sizes, body = expand(block)
-                words = _words(sizes, body)
-                for b, mine in _dealt(words, buckets):
+                words = words_of(sizes, body)
+                for b, mine in dealt(words, buckets):
                     blob = squeeze(np.array([len(words[i]) for i in mine], np.uint32), np.frombuffer(b"".join([words[i] for i in mine]), np.uint8))
                     yield pa.record_batch([pa.array([b], pa.int32()), pa.array([g], pa.int64()), pa.array([blob], pa.binary())], schema=_REQUEST)
 
@@ -139,7 +148,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         merge, known_ids, out = known.value.encoder(), {}, []
         for blob in data["block"].to_pylist():
             sizes, flat = [], []
-            for w in _words(*expand(blob)):
+            for w in words_of(*expand(blob)):
                 got = known_ids.get(w)
                 if got is None:
                     got = known_ids[w] = np.array(merge(w), np.uint32)
@@ -156,9 +165,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         replies = {b: x for b, x in zip(answers["bucket"].to_pylist(), answers["block"].to_pylist(), strict=True)}
         for block in data["block"].to_pylist():
             doc, counts, seq, sizes, body = expand(block)
-            words = _words(sizes, body)
+            words = words_of(sizes, body)
             order, got_sizes, got = [], [], []
-            for b, mine in _dealt(words, buckets):
+            for b, mine in dealt(words, buckets):
                 n, flat = expand(replies[b])
                 order += mine
                 got_sizes.append(n)
@@ -203,12 +212,16 @@ def default_vocabulary() -> Vocabulary:
     return Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = default_vocabulary()
-    out = decode(encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids (decimal, joined by commas) and of the decoded bytes."""
+    out = decode(encode(docs, vocabulary), vocabulary)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), default_vocabulary())

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import LOWER, UPPER, folded, table
@@ -62,6 +62,15 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", fan: int = FAN) -> Data
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
+def without_exact_duplicates(docs: DataFrame, keep: str = "max", fan: int = FAN) -> DataFrame:
+    """One row of docs for each text, columns as they are; of rows repeated with the identifier that stays, any one."""
+    stay = exact_duplicates(docs, keep, fan).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.withColumn("_own", F.sha2(folded(F.coalesce("text", F.lit(""))), 256))
+    kept = rows.join(stay, F.col("_own").eqNullSafe(F.col("_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    first = Window.partitionBy("_own", "doc_id").orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 

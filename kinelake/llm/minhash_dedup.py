@@ -225,5 +225,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     return rows.select("doc_id", F.col("n").alias("n_shingles"), out.alias("component_id"), F.col("doc_id").eqNullSafe(out).alias("kept"))
 
 
+def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, bands: int = 30, depth: int = 4) -> DataFrame:
+    """The rows of docs that stay, one document of each component, columns as they are.
+
+    At similarity 0.8 a pair shares none of 30 bands of 4 with probability 1e-7.
+    """
+    stay = near_duplicates(docs, percent, words, bands, depth).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -6,6 +6,7 @@ from kinelake.llm import exact_dedup, mixing
 from kinelake.llm.ann import op9_ann
 from kinelake.llm.byte_bpe import op4_byte_bpe
 from kinelake.llm.exact_dedup import op5_exact_dedup
+from kinelake.llm.language_model import op2_lm_scoring
 from kinelake.llm.minhash_dedup import op8_minhash_dedup
 from kinelake.llm.mixing import op10_mixing
 from kinelake.llm.quality import op7_quality
@@ -15,7 +16,7 @@ from kinelake.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    listed = (op1_suffix_array_dedup, op3_toxicity, op4_byte_bpe, op5_exact_dedup, op6_sharding, op7_quality, op8_minhash_dedup, op9_ann, op10_mixing)
+    listed = (op1_suffix_array_dedup, op2_lm_scoring, op3_toxicity, op4_byte_bpe, op5_exact_dedup, op6_sharding, op7_quality, op8_minhash_dedup, op9_ann, op10_mixing)
     return {f.__name__: f for f in listed}
 
 

@@ -281,6 +281,25 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
+def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
+    """The rows of docs that score under cut, columns as they are."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        scores, law = known.value.scores, known.value.calibration
+        for batch in batches:
+            top, n, hits = [], [], []
+            for _, size, found, _, _ in _segments(batch, scores):
+                value = np.array([s for _, _, s in found])
+                top.append(value.max() if len(value) else 0.0)
+                n.append(size)
+                hits.append(min(50, int((law.excess(value, np.full(len(value), size)) > -np.log(SIGNIFICANT)).sum())))
+            score = law.score(np.array(top), np.array(n, float), np.array(hits, float))
+            yield batch.filter(pa.array(score < cut))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = toxic_passages(docs, fit(docs, labels, remainder(F.col("doc_id"), 5) != 0))
