@@ -4,7 +4,7 @@ Rows are dealt to *lanes* by a hash.  A lane's run is its distinct digests in
 order, each with the identifier that stays and its count.  In each round the
 lanes that differ in one digit of their number exchange runs: every entry moves
 to the lane whose digit is that of its digest, and the lane merges the `fan`
-runs it receives.  A round of fan 8 is three binomial steps taken at once.
+runs it receives.  A round of fan 4 is two binomial steps taken at once.
 After log_fan(lanes) rounds each lane holds a share of the digests, fully
 merged; no lane ever holds more than its share of distinct digests, and a text
 that is everywhere is one entry of each run.  Verdicts return by lane and
@@ -27,14 +27,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import LOWER, UPPER, folded, table
+from kinelake.llm.common import LOWER, UPPER, checkpointed, folded, table
 
-FAN = 8
+FAN = 4
 _ENTRY = ("sha", "n_bytes", "check")
 
 
 def _rounds(spark: SparkSession, fan: int) -> int:
-    return max(1, math.ceil(math.log(int(spark.conf.get("spark.sql.shuffle.partitions")), fan)))
+    return max(1, int(math.log(int(spark.conf.get("spark.sql.shuffle.partitions")), fan)))
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "max", fan: int = FAN) -> DataFrame:
@@ -47,7 +47,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "max", fan: int = FAN) -> Data
     lanes = fan**rounds
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), folded(F.coalesce("text", F.lit(""))).alias("t"))
     rows = text.select("doc_id", F.unhex(F.sha2("t", 256)).alias("sha"), F.octet_length("t").alias("n_bytes"), F.xxhash64("t").alias("check"))
-    rows = rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "check"), F.lit(lanes)).cast("int")).repartition(lanes, "lane")
+    # texts are read and hashed once; what follows moves digests only
+    rows = checkpointed(rows.withColumn("lane", F.pmod(F.xxhash64("doc_id", "check"), F.lit(lanes)).cast("int")))
     runs = rows.groupBy("lane", *_ENTRY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     merged, target = runs.withColumnRenamed("lane", "slot"), F.pmod("check", F.lit(lanes)).cast("int")
     for r in range(rounds):

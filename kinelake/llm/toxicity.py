@@ -20,8 +20,8 @@
 
 Labels, language, source and identifier are no inputs of a score.  Defined
 results: null text is empty and scores what no evidence scores; documents
-labelled twice take the larger label; with no labels of one class every score is
-the share of toxic labels (0.5 without any); null identifiers are scored, not
+labelled twice take the larger label; without labels of both classes nothing
+tells documents apart and every score is 0; null identifiers are scored, not
 learned from; an empty table gives an empty result.
 """
 
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibration_rows: int
     held = with_label(docs, chosen, "toxic", F.lit(True)).select("text", "y").mapInArrow(best, "y int, n long, top array<double>").limit(2 * calibration_rows).toPandas()
     y, n = held["y"].to_numpy(float), held["n"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        return Model(scores, Calibration(1.0, 0.0, np.zeros(3), float(y.mean()) if len(y) else 0.5))
+        return Model(scores, Calibration(1.0, 0.0, np.zeros(3), 0.0))
     top = np.array([t[0] if len(t) else 0.0 for t in held["top"]])
     rate, log_k = fit_gumbel(top[y == 0], n[y == 0])
     calibration = Calibration(rate, log_k, np.zeros(3))
