@@ -13,11 +13,11 @@ share of equal coordinates concentrates around the Jaccard similarity.
 3. Star: in each bucket the vertex with the most bucket mates is compared with
    every other, on full sets.  A bucket of m vertices costs m - 1 comparisons.
 4. Rest: links joined so far make components.  Where a bucket still holds
-   several, those of its pairs that lie in different components, have sizes
-   that allow a link and sketches that do not rule it out (under EST of equal
-   coordinates; 4.6 deviations) are compared on full sets too.  Members of a
-   large bucket are dealt into blocks; only those outside its largest component
-   go to all blocks.
+   several, its members travel with their full sets, dealt into blocks of
+   bounded size; those outside the bucket's largest component go to all its
+   blocks.  A block counts the common shingles of such a member with all others
+   at once, from lists of who holds each shingle, and returns only links that
+   join components, so neither pairs nor links of a large group multiply.
 5. Components of all links, smallest identifier first.
 
 Defined results: null text and texts without words have an empty set and are
@@ -36,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, checkpointed, ids, packed, pieces, table
+from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, packed, pieces, table
 from kinelake.llm.components import connected_components
 from kinelake.llm.textkernels import mix, shingle_sets
 
 WORDS, BANDS, DEPTH = 5, 24, 5
 T = BANDS * DEPTH
-#: Equal coordinates below which a link is ruled out; vertices in a block of a large bucket.
-EST_BELOW, BLOCK = 0.15, 2048
+#: Shingles in a block of a large bucket, about.
+BLOCK_ITEMS = 1 << 20
 #: Identifiers that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Bytes of text in one vectorised step.
@@ -111,7 +111,7 @@ def _set_ids(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 FEATURES = "doc_id long, v long, n long, set_id binary, bands array<long>"
-SETS = "v long, n long, items binary, sketch binary"
+SETS = "v long, n long, items binary"
 
 
 def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
@@ -128,8 +128,8 @@ def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int, t: int) -> DataFrame:
-    """Full sets (64-bit hashes, ascending) and sketches of the vertices in wanted (v)."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Full sets (64-bit hashes, ascending) of the vertices in wanted (v)."""
     named = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(named).alias("u"))
     asked = wanted.select(F.when(F.col("v") >= NAMELESS, F.lit(NO_ID)).otherwise(F.col("v")).alias("u")).distinct()
@@ -139,8 +139,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, t: int) -> DataFrame:
     def run(batches):
         for doc, body, offsets in _steps(batches):
             values, at = shingle_sets(body, offsets, words)
-            names, sketch, raw = _names(doc, _set_ids(values, at)), sketches(values, at, t), values.tobytes()
-            yield pa.record_batch({"v": pa.array(names), "n": pa.array(np.diff(at)), "items": pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()), "sketch": pa.array([r.tobytes() for r in sketch], pa.binary())})
+            names, raw = _names(doc, _set_ids(values, at)), values.tobytes()
+            yield pa.record_batch({"v": pa.array(names), "n": pa.array(np.diff(at)), "items": pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
     return texts.join(asked, "u", "left_semi").select("doc_id", "text").mapInArrow(run, SETS)
 
@@ -165,21 +165,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _plausible(percent: int, below: float, t: int):
-    """Pairs of one block in different components that sizes and sketches allow."""
-    floor = int(np.ceil((percent / 100 - below) * t))
+def _joining(percent: int):
+    """Links of one block that join components: full sets of its members, and those outside the largest component."""
 
     def run(key, data):
+        data = data.sort_by("v")
         v, n, label, own = (data[c].to_numpy() for c in ("v", "n", "label", "own"))
-        sketch = np.frombuffer(b"".join(data["sketch"].to_pylist()), np.uint32).reshape(len(v), -1)
+        items, offsets = packed(data["items"])
+        items, offsets = items.view(np.uint64), offsets // 8
+        holder = np.repeat(np.arange(len(v)), np.diff(offsets))
+        by = np.argsort(items, kind="stable")
+        holder, heads = holder[by], np.flatnonzero(np.concatenate([[True], items[by][1:] != items[by][:-1]]))
+        begins = np.append(heads, len(by))
+        number = np.empty(len(by), np.int64)
+        number[by] = np.repeat(np.arange(len(heads)), np.diff(begins))
+        names, component = np.unique(label, return_inverse=True)
+        parent = np.arange(len(names))
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
         a, b = [], []
-        outside = np.flatnonzero(data["outside"].to_numpy())
-        for i in outside.tolist():
-            fit = own & (label != label[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            where = np.flatnonzero(fit)
-            where = where[(sketch[where] == sketch[i]).sum(axis=1) >= floor]
-            a += np.minimum(v[i], v[where]).tolist()
-            b += np.maximum(v[i], v[where]).tolist()
+        for i in np.flatnonzero(data["outside"].to_numpy()).tolist():
+            met, _ = gathered(holder, begins, number[offsets[i] : offsets[i + 1]])
+            common = np.bincount(met, minlength=len(v))
+            linked = np.flatnonzero(own & (label != label[i]) & (common > 0) & (100 * common >= percent * (n + n[i] - common)))
+            for j in linked[np.unique(component[linked], return_index=True)[1]].tolist():
+                x, y = root(component[i]), root(component[j])
+                if x != y:
+                    parent[x] = y
+                    a.append(min(v[i], v[j]))
+                    b.append(max(v[i], v[j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -198,23 +217,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     star = members.join(hubs, "band").select("v", "n", (-F.col("hub.w")).alias("hub"), "hub.hub_n")
     ratio = F.lit(100) * F.least("n", "hub_n") >= F.lit(percent) * F.greatest("n", "hub_n")
     pairs = checkpointed(star.filter((F.col("v") != F.col("hub")) & ratio).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
-    t = bands * depth
     both = lambda p: p.select(F.col("a").alias("v")).union(p.select("b")).distinct()
-    links = checkpointed(_verified(pairs, _sets(docs, both(pairs), words, t), percent))
+    links = checkpointed(_verified(pairs, _sets(docs, both(pairs), words), percent))
     labels = connected_components(links)
 
     labelled = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = sizes.groupBy("band").agg(F.sum("k").alias("total"), F.max(F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    mixed = mixed.select("band", F.col("largest.label").alias("most"), F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    sizes = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("items"))
+    mixed = sizes.groupBy("band").agg(F.sum("items").alias("total"), F.max(F.struct("k", "label")).alias("largest"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = mixed.select("band", F.col("largest.label").alias("most"), F.ceil(F.col("total") / BLOCK_ITEMS).cast("int").alias("blocks"))
     rest = labelled.join(mixed, "band").withColumn("outside", F.col("label") != F.col("most"))
     home = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
     placed = rest.withColumn("home", home).withColumn("block", F.explode(F.when(F.col("outside"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
     placed = checkpointed(placed.select("band", "block", "v", "n", "label", "outside", (F.col("block") == F.col("home")).alias("own")))
-    drawn = _sets(docs, placed.select("v").distinct(), words, t).select("v", "sketch").dropDuplicates(["v"])
-    more = placed.join(drawn, "v").groupBy("band", "block").applyInArrow(_plausible(percent, EST_BELOW, t), "a long, b long").distinct()
-    more = checkpointed(more)
-    links = links.union(_verified(more, _sets(docs, both(more), words, t), percent))
+    full = _sets(docs, placed.select("v").distinct(), words).select("v", "items").dropDuplicates(["v", "items"])
+    more = placed.join(full, "v").groupBy("band", "block").applyInArrow(_joining(percent), "a long, b long").distinct()
+    links = links.union(checkpointed(more))
     labels = connected_components(links)
 
     # copies of one set follow its vertex; rows of one identifier are one document

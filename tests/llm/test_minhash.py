@@ -62,7 +62,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_equals_brute_force(spark, monkeypatch, seed):
-    monkeypatch.setattr(mh, "BLOCK", 4)
+    monkeypatch.setattr(mh, "BLOCK_ITEMS", 300)
     rows = corpus(seed)
     assert got(spark, rows) == brute(rows)
 
