@@ -1,0 +1,12 @@
+"""Readers of recordings; register(spark) makes the binary formats available to spark.read.format()."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from kinelake.sources.binary import AxivitySource, GeneActivSource, NumpySource
+
+
+def register(spark: SparkSession) -> None:
+    for source in (AxivitySource, GeneActivSource, NumpySource):
+        spark.dataSource.register(source)
