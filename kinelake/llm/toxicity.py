@@ -40,7 +40,7 @@ from kinelake.llm.labelled import remainder, with_label
 from kinelake.llm.textkernels import _FOLD, mix, word_hashes
 
 SLOTS, PREFIX_SLOTS, PREFIX = 1 << 20, 1 << 18, 5
-PRIOR, DRIFT, SIGNIFICANT = 4.0, 1.0, 0.01
+PRIOR, DRIFT, SIGNIFICANT = 4.0, 1.5, 0.01
 CALIBRATION_ROWS = 50_000
 #: Parts of the count tables that are added apart, and partial sums of each.
 PARTS, PARTIAL = 16, 64
