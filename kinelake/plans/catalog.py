@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import axes, features
 from kinelake.functions.cutpoints import level_range
 from kinelake.functions.fragmentation import fragmentation
-from kinelake.operators import activity, gait, intervals, kernels, sleep, timeline, wear, windows
+from kinelake.operators import activity, detectors, gait, intervals, kernels, sleep, timeline, wear, windows
 from kinelake.plans import signals as sg
 from kinelake.plans.signals import RUNS, SERIES, STATES, STRIDES, TRIAX, WINDOWS
 
@@ -621,3 +621,27 @@ for _m in ("bfen", "hfen", "hfenplus"):
     _add(f"{_m}_epochs", lambda s, d, m=_m: _rounded(kernels.filtered_metric(sg.triax(s, d), 50.0, 25, m)))
 _add("peaks", lambda s, d: kernels.peaks(sg.series(s, d), "x", height=60.0, distance=3))
 _add("motion_cov", lambda s, d: kernels.motion(sg.triax(s, d), 20.0, 0.6))
+
+
+# -- detectors --------------------------------------------------------------
+
+
+def _arm_levels(s, d):
+    t = sg.triax(s, d).select("recording_id", "sample_idx", axes.magnitude().alias("m"), axes.arm_angle().alias("a"))
+    e = windows.epochs(t, 32, F.stddev_samp("m").alias("sd"), F.avg("a").alias("angle"))
+    w = t.select(F.concat_ws(":", "recording_id", F.floor(F.col("sample_idx") / 32)).alias("w"), (F.col("sample_idx") % 32).alias("i"), F.col("m").alias("x"))
+    share = kernels.per_window(w, "w", lambda x: {"share": kernels.dsp.range_power_sum(x, 10.0, 0, 0.6, 2.5, normalize=True)}, "share double")
+    e = e.withColumn("w", F.concat_ws(":", "recording_id", "epoch")).join(share, "w").drop("w")
+    return _rounded(activity.arm_movement_levels(e))
+
+
+_add("arm_movement_levels", _arm_levels)
+_STILL_LIMITS = {"window": 0.1, "gravity": 1.0, "mean": 0.5, "sd": 0.6, "jerk_mean": 40.0, "jerk_sd": 40.0, "long": 0.1}
+_add("stillness", lambda s, d: detectors.stillness(sg.triax(s, d).select("recording_id", "sample_idx", axes.magnitude().alias("x")), 0.02, **_STILL_LIMITS))
+_add("nonwear_by_slope", lambda s, d: detectors.nonwear_by_slope(sg.triax(s, d), 0.25, 4, 0.9, 1, 25.0, 28.0, -0.01, 0.01))
+_add("sit_to_stand", lambda s, d: _rounded(detectors.transfers(sg.triax(s, d), 20.0, (0.6, 0.6), 0.0, 0.0)))
+_add(
+    "gait_strides",
+    lambda s, d: _rounded(detectors.gait_bouts(sg.triax(s, d).select("recording_id", F.lit(1).alias("day_n"), F.floor(F.col("sample_idx") / 300).cast("long").alias("bout_n"), "sample_idx", F.col("az").alias("v"), F.col("ax").alias("ap")), 20.0, 1.8)),
+)
+_add("calibration", lambda s, d: kernels.calibration(sg.triax(s, d), 4, 0.6).select("recording_id", "calibrated"))
