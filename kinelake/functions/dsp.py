@@ -352,6 +352,8 @@ def fit_sphere(points: np.ndarray, temperature: np.ndarray, most: int = 1000, to
             design = np.column_stack([np.ones(len(t)), now[:, k], t])
             shift[k], stretch[k], heat[k] = np.linalg.lstsq(design * root[:, None], near[:, k] * root, rcond=None)[0]
             now[:, k] = now[:, k] * stretch[k] + t * heat[k]
+        if not (np.isfinite(shift) & np.isfinite(stretch) & np.isfinite(heat) & (np.abs(scale * stretch) > 1e-6)).all() or not np.isfinite(now).all() or np.abs(now).max() > 1e6:
+            return offset, scale, warm, False  # diverges: these points lie on no ellipsoid
         offset = offset + shift / (scale * stretch)
         warm = warm * stretch + heat
         scale = scale * stretch

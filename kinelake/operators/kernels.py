@@ -33,9 +33,10 @@ def per_recording(df: DataFrame, f, schema: str) -> DataFrame:
     return df.groupBy(KEY).applyInArrow(run, f"{KEY} {kind}, {schema}")
 
 
-def per_window(df: DataFrame, key: str, f, schema: str) -> DataFrame:
-    """f(matrix of equally long windows) -> dict of columns, over groups of windows with columns key, i, x."""
+def per_window(df: DataFrame, key: str, f, schema: str, size: int | None = None) -> DataFrame:
+    """f(matrix of equally long windows) -> dict of columns, over windows with columns key, i, x (of `size` samples only, if given)."""
     arrays = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w")).select(key, F.transform("w", lambda p: p["x"]).alias("w"))
+    arrays = arrays.filter(F.size("w") == size) if size else arrays
     kind = dict(df.dtypes)[key]
 
     def run(batches):

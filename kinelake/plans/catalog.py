@@ -630,7 +630,7 @@ def _arm_levels(s, d):
     t = sg.triax(s, d).select("recording_id", "sample_idx", axes.magnitude().alias("m"), axes.arm_angle().alias("a"))
     e = windows.epochs(t, 32, F.stddev_samp("m").alias("sd"), F.avg("a").alias("angle"))
     w = t.select(F.concat_ws(":", "recording_id", F.floor(F.col("sample_idx") / 32)).alias("w"), (F.col("sample_idx") % 32).alias("i"), F.col("m").alias("x"))
-    share = kernels.per_window(w, "w", lambda x: {"share": kernels.dsp.range_power_sum(x, 10.0, 0, 0.6, 2.5, normalize=True)}, "share double")
+    share = kernels.per_window(w, "w", lambda x: {"share": kernels.dsp.range_power_sum(x, 10.0, 0, 0.6, 2.5, normalize=True)}, "share double", 32)
     e = e.withColumn("w", F.concat_ws(":", "recording_id", "epoch")).join(share, "w").drop("w")
     return _rounded(activity.arm_movement_levels(e))
 
