@@ -35,16 +35,16 @@ def per_recording(df: DataFrame, f, schema: str) -> DataFrame:
 
 def per_window(df: DataFrame, key: str, f, schema: str, size: int | None = None) -> DataFrame:
     """f(matrix of equally long windows) -> dict of columns, over windows with columns key, i, x (of `size` samples only, if given)."""
-    arrays = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("w")).select(key, F.transform("w", lambda p: p["x"]).alias("w"))
-    arrays = arrays.filter(F.size("w") == size) if size else arrays
+    arrays = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_w")).select(key, F.transform("_w", lambda p: p["x"]).alias("_w"))
+    arrays = arrays.filter(F.size("_w") == size) if size else arrays
     kind = dict(df.dtypes)[key]
 
     def run(batches):
         for batch in batches:
-            sizes = np.array([len(w) for w in batch.column("w")])
+            sizes = np.array([len(w) for w in batch.column("_w")])
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                x = np.array([batch.column("w")[int(i)].as_py() for i in rows], float)
+                x = np.array([batch.column("_w")[int(i)].as_py() for i in rows], float)
                 yield pa.record_batch({key: batch.column(key).take(pa.array(rows)), **{k: pa.array(v) for k, v in f(x).items()}})
 
     return arrays.mapInArrow(run, f"{key} {kind}, {schema}")
