@@ -43,9 +43,9 @@ from kinelake.llm.common import NO_ID, expand, gathered, group_count, ids, in_gr
 LENGTH = 50
 ANCHOR = 24
 #: Bytes of text in a group, in one vectorised step, and in one suffix array.
-GROUP_MB, STEP, SORT_BYTES = 8, 1 << 16, 1 << 20
+GROUP_MB, STEP, SORT_BYTES = 6, 1 << 16, 1 << 20
 #: Anchors in a bucket, about.  An anchor is common with so many segments in one group, or in so many groups.
-BUCKET_KEYS, DENSE, COMMON = 1 << 19, 128, 1 << 14
+BUCKET_KEYS, DENSE, COMMON = 1 << 18, 128, 1 << 14
 
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT, _MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
