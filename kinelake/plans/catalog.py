@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import axes, features
 from kinelake.functions.cutpoints import level_range
 from kinelake.functions.fragmentation import fragmentation
-from kinelake.operators import activity, detectors, gait, intervals, kernels, sleep, timeline, wear, windows
+from kinelake.operators import activity, detectors, gait, gait_kernels, intervals, kernels, sleep, timeline, wear, windows
 from kinelake.plans import signals as sg
 from kinelake.plans.signals import RUNS, SERIES, STATES, STRIDES, TRIAX, WINDOWS
 
@@ -645,3 +645,10 @@ _add(
     lambda s, d: _rounded(detectors.gait_bouts(sg.triax(s, d).select("recording_id", F.lit(1).alias("day_n"), F.floor(F.col("sample_idx") / 300).cast("long").alias("bout_n"), "sample_idx", F.col("az").alias("v"), F.col("ax").alias("ap")), 20.0, 1.8)),
 )
 _add("calibration", lambda s, d: kernels.calibration(sg.triax(s, d), 4, 0.6).select("recording_id", "calibrated"))
+
+
+def _walks(s, d):
+    return sg.triax(s, d).select("recording_id", F.lit(1).alias("day_n"), F.floor(F.col("sample_idx") / 300).cast("long").alias("bout_n"), (F.col("sample_idx") % 300).alias("sample_idx"), F.col("az").alias("v"), F.col("ax").alias("ap"), F.col("ay").alias("ml"))
+
+
+_add("gait_signal_endpoints", lambda s, d: _rounded(gait_kernels.signal_endpoints(_walks(s, d), detectors.gait_bouts(_walks(s, d), 20.0, 1.8), 20.0)))
