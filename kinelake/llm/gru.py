@@ -24,6 +24,16 @@ def softmax_parts(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e / total, (np.log(total) + top)[:, 0]
 
 
+def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
+    """Logs of the sums of exponentials of each row, which it overwrites.  bound: no logit is larger."""
+    top = logits.max(axis=1, keepdims=True) if bound > 60 else None
+    if top is not None:
+        logits -= top
+    np.exp(logits, out=logits)
+    out = np.log(logits @ np.ones(logits.shape[1], logits.dtype))
+    return out if top is None else out + top[:, 0]
+
+
 class Gru:
     """Parameters: gate inputs of each token, recurrence, classes, and words of head classes."""
 
@@ -53,35 +63,50 @@ class Gru:
         n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
         return n + z * (h - n), (z, r, n, gh[:, 2 * k :])
 
-    def outputs(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray, gradient: bool = False):
-        """Log-probability of each target's class and, in head classes, of the word; and gradients of their mean."""
-        p, log_total = softmax_parts(states @ self.c + self.cb)
-        each = np.arange(len(cls))
-        logp = (states * self.c.T[cls]).sum(axis=1) + self.cb[cls] - log_total
-        if gradient:
-            p[each, cls] -= 1
-            p /= len(cls)
-            grads = {"c": states.T @ p, "cb": p.sum(axis=0), "w": np.zeros_like(self.w), "wb": np.zeros_like(self.wb)}
-            d = p @ self.c.T
+    def outputs(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Log-probability of each target's class and, in head classes, of the word."""
+        # states lie in (-1, 1), which bounds every logit
+        bound = float(max((np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max(), (np.abs(self.w).sum(axis=1) + np.abs(self.wb)).max(initial=0)))
+        logits = states @ self.c
+        logits += self.cb
+        logp = logits[np.arange(len(cls)), cls]
+        logp -= log_sums(logits, bound)
+        for a, b, mine in self._by_class(cls):
+            logits = states[mine] @ self.w[a:b].T
+            logits += self.wb[a:b]
+            target = logits[np.arange(len(mine)), member[mine] - a]
+            logp[mine] += target - log_sums(logits, bound)
+        return logp
+
+    def _by_class(self, cls: np.ndarray):
+        """First and last word of each head class that occurs, and where it does."""
         by = np.argsort(cls, kind="stable")
         cuts = np.searchsorted(cls[by], np.arange(len(self.bounds)))
         for k in range(len(self.bounds) - 1):
-            mine = by[cuts[k] : cuts[k + 1]]
-            if not len(mine):
-                continue
-            a, b = self.bounds[k], self.bounds[k + 1]
+            if cuts[k] < cuts[k + 1]:
+                yield self.bounds[k], self.bounds[k + 1], by[cuts[k] : cuts[k + 1]]
+
+    def output_gradients(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray):
+        """As outputs(), with the gradients of minus the mean by states and by parameters."""
+        p, log_total = softmax_parts(states @ self.c + self.cb)
+        each = np.arange(len(cls))
+        logp = (states * self.c.T[cls]).sum(axis=1) + self.cb[cls] - log_total
+        p[each, cls] -= 1
+        p /= len(cls)
+        grads = {"c": states.T @ p, "cb": p.sum(axis=0), "w": np.zeros_like(self.w), "wb": np.zeros_like(self.wb)}
+        d = p @ self.c.T
+        for a, b, mine in self._by_class(cls):
             s, target = states[mine], member[mine] - a
             logits = s @ self.w[a:b].T + self.wb[a:b]
             q, log_total = softmax_parts(logits)
             rows = np.arange(len(mine))
             logp[mine] += logits[rows, target] - log_total
-            if gradient:
-                q[rows, target] -= 1
-                q /= len(cls)
-                grads["w"][a:b] = q.T @ s
-                grads["wb"][a:b] = q.sum(axis=0)
-                d[mine] += q @ self.w[a:b]
-        return (logp, d, grads) if gradient else logp
+            q[rows, target] -= 1
+            q /= len(cls)
+            grads["w"][a:b] = q.T @ s
+            grads["wb"][a:b] = q.sum(axis=0)
+            d[mine] += q @ self.w[a:b]
+        return logp, d, grads
 
     def window(self, h: np.ndarray, tokens: np.ndarray, begins: np.ndarray, keep: bool = False):
         """States after each of tokens (time by lane); begins marks where the state is set back."""
@@ -100,7 +125,7 @@ class Gru:
         """Mean log-probability, the last state, and gradients through one window (truncated there)."""
         states, last, kept = self.window(h, tokens, begins, keep=True)
         flat = states.reshape(-1, self.hidden)
-        logp, d, grads = self.outputs(flat, cls.ravel(), member.ravel(), gradient=True)
+        logp, d, grads = self.output_gradients(flat, cls.ravel(), member.ravel())
         d, k = d.reshape(states.shape), self.hidden
         back = np.zeros_like(h)
         gx = np.empty((*tokens.shape, 3 * k), np.float32)
