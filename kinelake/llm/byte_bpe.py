@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, expand, gathered, group_count, ids, packed, pieces, squeeze, table, text_bytes
+from kinelake.llm.common import NO_ID, expand, gathered, group_count, ids, in_small_batches, packed, pieces, squeeze, table, text_bytes
 
 #: Bytes of text in a block; distinct words in a bucket, about.
 BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 150_000
@@ -112,7 +112,7 @@ def pack(batches, split):
 
 def in_order(docs: DataFrame) -> DataFrame:
     """doc_id and text (null: empty), sorted within partitions so that blocks come out the same again."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions("doc_id", "text")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions("doc_id", "text")
 
 
 def dealt(words: list[bytes], buckets: int) -> list[tuple[int, list[int]]]:
@@ -203,7 +203,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 raw = flat.tobytes()
                 yield pa.record_batch({"doc_id": doc.slice(lo, ROWS), "ids": part, "decoded": pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
-    return encoded.select("doc_id", "ids").mapInArrow(look_up, "doc_id long, ids array<int>, decoded binary")
+    return in_small_batches(encoded).select("doc_id", "ids").mapInArrow(look_up, "doc_id long, ids array<int>, decoded binary")
 
 
 def default_vocabulary() -> Vocabulary:

@@ -12,6 +12,7 @@ a bounded share of the input however large it is.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 
@@ -29,10 +30,39 @@ LOWER = UPPER.lower()
 NO_ID = np.iinfo(np.int64).max
 
 
+def return_memory() -> None:
+    """Lets freed arrays go back to the system at once.
+
+    Workers live on between stages; without this each keeps the most it ever
+    held.  The C library then maps every block over 4 MB on its own.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # size from which blocks are mapped
+        libc.mallopt(-1, 8 << 20)  # free memory at the end of the heap that is kept
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own ways
+
+
+return_memory()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch; texts are long, and several batches are in memory on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python batches of BATCH_BYTES at most from now on."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder in spark.checkpoint.dir and read back.
 
@@ -63,7 +93,7 @@ def group_count(total_bytes: int, group_mb: float) -> int:
 def in_groups(docs: DataFrame, groups: int) -> DataFrame:
     """Columns g, doc_id, text (null: empty) dealt by doc_id into `groups` groups."""
     key = F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")
-    rows = docs.select(key.alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = in_small_batches(docs).select(key.alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.repartition(max(groups, 1), "g")
 
 

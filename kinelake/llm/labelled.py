@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinelake.llm.common import in_small_batches
+
 #: Label rows that may be broadcast (about 20 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -23,4 +25,4 @@ def with_label(docs: DataFrame, labels: DataFrame, label: str, keep: Column) ->
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
     columns = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    return docs.select(*columns).join(known, "doc_id")
+    return in_small_batches(docs).select(*columns).join(known, "doc_id")

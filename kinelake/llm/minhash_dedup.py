@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, packed, pieces, table
+from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, in_small_batches, packed, pieces, table
 from kinelake.llm.components import connected_components
 from kinelake.llm.textkernels import mix, shingle_sets
 
@@ -125,7 +125,7 @@ def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
             yield pa.record_batch({"doc_id": pa.array(doc, mask=doc == NO_ID), "v": pa.array(_names(doc, set_ids)), "n": pa.array(np.diff(at)), "set_id": pa.array(set_ids, pa.binary()), "bands": lists})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

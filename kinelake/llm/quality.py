@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import packed, pieces, table
+from kinelake.llm.common import in_small_batches, packed, pieces, table
 from kinelake.llm.labelled import remainder, with_label
 from kinelake.llm.textkernels import mix, word_hashes
 
@@ -205,7 +205,7 @@ def quality_scores(docs: DataFrame, machine: Machine) -> DataFrame:
             for lo, hi, found in _steps(batch):
                 yield pa.record_batch({"doc_id": batch.column("doc_id").slice(lo, hi - lo), "score": pa.array(known.value.score(*found))})
 
-    rows = _with_chars(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("double").alias("n_chars"))
+    rows = in_small_batches(_with_chars(docs)).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("n_chars").cast("double").alias("n_chars"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 

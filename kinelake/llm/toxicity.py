@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import expand, packed, pieces, squeeze, table
+from kinelake.llm.common import expand, in_small_batches, packed, pieces, squeeze, table
 from kinelake.llm.labelled import remainder, with_label
 from kinelake.llm.textkernels import _FOLD, mix, word_hashes
 
@@ -278,7 +278,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
             score = law.score(np.array(top), np.array(n, float), np.array(found_n, float))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(score), "passages": pa.array(passages, _PASSAGES)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
 
 def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
@@ -297,7 +297,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
             score = law.score(np.array(top), np.array(n, float), np.array(hits, float))
             yield batch.filter(pa.array(score < cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
