@@ -9,10 +9,11 @@
    frequency and last two bytes, within which a word has its share of
    count + 1/2; words not seen in training are one further type, a class of its
    own.  This is a distribution over the same V + 1 types as the unigram model.
-3. Training is truncated backpropagation in numpy, spread over blocks: in each
-   of ROUNDS rounds one block in EVERY (and always the one of the least name)
-   trains a copy for STEPS windows on its training documents, and the copies are
-   averaged.  Words counted once stand for unseen ones half of the time.
+3. Training is truncated backpropagation in numpy, spread over blocks: every
+   block trains in one of ROUNDS rounds (and the one of the least name in all).
+   It trains a copy until all of its training documents were read to their end,
+   and for STEPS windows at least; the copies of a round are averaged.  Words
+   counted once stand for unseen ones half of the time.
 4. Scoring reads every whole document once; the state is carried across windows
    and set back where a document begins.  The result is mixed with the unigram
    model at the weight UNIGRAM.
@@ -30,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm.byte_bpe import BLOCK_BYTES, BUCKET_WORDS, dealt, in_order, pack, words_of
@@ -39,7 +40,7 @@ from kinelake.llm.gru import Adam, Gru, lanes_of
 from kinelake.llm.labelled import remainder
 
 HEAD, HIDDEN, SUFFIXES = 2048, 32, 16
-ROUNDS, EVERY, STEPS, LANES, WINDOW, RATE = 4, 8, 150, 32, 32, 0.01
+ROUNDS, STEPS, LANES, WINDOW, RATE = 4, 150, 32, 32, 0.01
 SCORE_LANES, SCORE_WINDOW, UNIGRAM = 256, 64, 0.05
 #: The end of a document as a word; no word has a space.
 END = b" "
@@ -178,6 +179,11 @@ class _Block:
         self.end = corpus.index.get(END, len(corpus.head) + TAILS)
 
 
+def taking(turn: int, least: int) -> Column:
+    """Whether a block trains in this round: every block does in one, and the one of the least name in all."""
+    return (F.pmod(F.col("g"), F.lit(ROUNDS)) == turn) | (F.col("g") == least)
+
+
 def _train(block: _Block, corpus: Corpus, parameters: list[np.ndarray], rest: int, seed: int) -> Gru | None:
     pick = np.flatnonzero(_trains(block.doc, rest))
     if not len(pick):
@@ -190,16 +196,21 @@ def _train(block: _Block, corpus: Corpus, parameters: list[np.ndarray], rest: in
     cls, given = block.cls.copy(), block.given.copy()
     once = np.flatnonzero(block.counts == 1)[::2]
     cls[once], given[once] = corpus.unseen, len(corpus.head) + TAILS
+    # every document belongs to a lane; lanes that end before the longest go on with any documents
+    size = block.n.astype(np.int64)[pick]
+    own = [rng.permutation(pick[docs]).tolist() if docs else [] for docs in lanes_of(size, LANES)]
+    own += [[] for _ in range(LANES - len(own))]
+    steps = max(STEPS, -(-max(sum(int(block.n[d]) for d in docs) for docs in own) // WINDOW))
     queue: list[int] = []
     lanes: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
     starts: list[np.ndarray] = [np.zeros(0, bool)] * LANES
     h = np.zeros((LANES, HIDDEN), np.float32)
-    for _ in range(STEPS):
+    for _ in range(steps):
         for i in range(LANES):
             while len(lanes[i]) < WINDOW:
-                if not queue:
+                if not own[i] and not queue:
                     queue = rng.permutation(pick).tolist()
-                d = queue.pop()
+                d = own[i].pop() if own[i] else queue.pop()
                 s = block.seq[block.begin[d] : block.begin[d + 1]]
                 lanes[i] = np.concatenate([lanes[i], s])
                 flag = np.zeros(len(s), bool)
@@ -293,7 +304,7 @@ def score_documents(docs: DataFrame, rest: int = 1) -> DataFrame:
 
     for r in range(ROUNDS if corpus.tokens else 0):
         given = spark.sparkContext.broadcast(model.parameters())
-        chosen = (F.pmod(F.col("g"), F.lit(EVERY)) == r) | (F.col("g") == least)
+        chosen = taking(r, least)
         copies = packs.filter(chosen).groupBy("g").cogroup(answers.filter(chosen).groupBy("g")).applyInArrow(trainer(given, r), merged)
         # one row: the sum of all copies, of fixed size
         for row in copies.groupBy("sub").applyInArrow(add, merged).groupBy("sub").applyInArrow(add, merged).collect():

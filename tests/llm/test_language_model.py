@@ -1,5 +1,6 @@
 import collections
 import math
+import types
 import zlib
 
 import numpy as np
@@ -79,3 +80,28 @@ def test_odd_rows(spark, monkeypatch):
     assert lm.score_documents(docs.limit(0)).count() == 0
     none = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
     assert [r.base_score for r in lm.score_documents(none).collect()] == [0.0]
+
+
+def test_training_reads_every_document_whole(monkeypatch):
+    n = np.array([9000, 3, *[700] * 300], np.uint32)
+    doc = np.arange(len(n)) + 1
+    begin = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
+    each = np.arange(begin[-1])  # every place of the text is a word of its own
+    zeros = np.zeros(len(each), np.int64)
+    block = types.SimpleNamespace(doc=doc, n=n, seq=each, begin=begin, cls=zeros, given=zeros, counts=zeros + 2, member=each, end=0)
+    read = []
+    monkeypatch.setattr(Gru, "gradients", lambda self, h, tokens, first, cls, member: (read.append(member.copy()), h, [np.zeros_like(p) for p in self.parameters()]))
+    corpus = lm.Corpus(1, 1, [(b"a", 1)], np.ones(lm.TAILS))
+    lm._train(block, corpus, corpus.model().parameters(), 1, 0)
+    lanes = np.concatenate(read)
+    trains = np.repeat(lm._trains(doc, 1), n)
+    seen = np.bincount(lanes.ravel(), minlength=len(each)) > 0
+    assert seen[trains].all() and not seen[~trains].any()
+    follows = (lanes[1:] == lanes[:-1] + 1).mean()
+    assert follows > 0.99  # in their order
+
+
+def test_rounds_cover_all_blocks(spark):
+    blocks = spark.range(-50, 50).withColumnRenamed("id", "g")
+    turns = [{r.g for r in blocks.filter(lm.taking(k, -50)).collect()} for k in range(lm.ROUNDS)]
+    assert set.union(*turns) == set(range(-50, 50)) and sum(map(len, turns)) == 100 + lm.ROUNDS - 1
