@@ -139,11 +139,14 @@ COUNTS_OUT = (1.0, -3.63367395910957, 5.03689812757486, -3.09612247819666, 0.506
 
 
 def activity_counts(df: DataFrame, fs: float, seconds: int = 60) -> DataFrame:
-    """Counts of each axis by epoch, from samples at 30 Hz (resampled if fs differs)."""
+    """Counts of each axis by epoch, from samples at 30 Hz (resampled if fs differs, low-passed before if it is larger)."""
+    low = dsp.chebyshev_low(8, 0.05, (1.0 if fs % 30 else 0.8) * 30 / fs) if fs > 30 else None
     f = dsp.Recursion.transfer(np.array(COUNTS_IN), np.array(COUNTS_OUT))
 
     def run(data):
         a = _axes(data)
+        if low is not None and len(a) > 27:  # shorter ones fill no second
+            a = np.stack([dsp.zero_phase(low, a[:, k]) for k in range(3)], axis=1)
         if fs != 30.0:
             at = np.arange(0, (len(a) - 1) / fs, 1 / 30)
             a = np.stack([np.interp(at, np.arange(len(a)) / fs, a[:, k]) for k in range(3)], axis=1)

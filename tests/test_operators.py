@@ -131,3 +131,10 @@ def test_calibration(spark):
     a = np.repeat(pose / [1.05, 0.97, 1.02] - [0.01, 0.02, -0.02], 10, axis=0) + rng.normal(0, 1e-4, (600, 3))
     got = kernels.calibration(samples(spark, ax=a[:, 0], ay=a[:, 1], az=a[:, 2]), 10).first()
     assert got.calibrated and np.allclose(got.scale, [1.05, 0.97, 1.02], rtol=2e-3) and np.allclose(got.offset, [0.01, 0.02, -0.02], atol=2e-3)
+
+
+def test_activity_counts_do_not_alias(spark):
+    t = np.arange(1000) / 100
+    a = np.sin(2 * np.pi * 31 * t)  # sampled at 30 Hz this would look like 1 Hz
+    got = kernels.activity_counts(samples(spark, ax=a, ay=0 * t, az=np.sin(2 * np.pi * t)), 100.0, 1).orderBy("epoch").toPandas()[2:-1]
+    assert len(got) >= 6 and (got.counts_x == 0).all() and (got.counts_z > 0).all()
