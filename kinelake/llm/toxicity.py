@@ -12,11 +12,12 @@
    segments; only positive tokens cost a step.
 4. Extreme values.  The best score of clean text of n tokens follows a Gumbel
    law, P(S >= x) ~ K n exp(-lambda x); lambda and K are fitted on clean
-   documents that were not counted.  A segment is significant if its expected
+   documents that were not counted before.  A segment is significant if its expected
    number in clean text is under SIGNIFICANT.  A logistic fit on documents that
    were not counted turns the excess of the best segment and the number of
    significant ones into a probability.  At most CALIBRATION_ROWS of them, taken
-   by a hash of the identifier, are used for both fits.
+   by a hash of the identifier, are used for both fits.  Then all labelled
+   training documents are counted anew, and these counts score.
 
 Labels, language, source and identifier are no inputs of a score.  Defined
 results: null text is empty and scores what no evidence scores; documents
@@ -228,10 +229,14 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train: Column, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learns from the labelled rows that satisfy train (on doc_id of labels)."""
     fold = remainder(F.col("doc_id"), 20) < 15
-    counted = with_label(docs, labels, "toxic", train & fold)
-    once = counted.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").alias("k"), "y").agg(F.min("doc_id").alias("doc_id"))
-    single = counted.join(F.broadcast(once.select("doc_id")) if labels.count() <= 2_000_000 else once.select("doc_id"), "doc_id", "left_semi")
-    scores = Scores.of(count_tables(single))
+
+    def count(rows: Column) -> Scores:
+        counted = with_label(docs, labels, "toxic", rows)
+        once = counted.groupBy(F.xxhash64("text").alias("h"), F.octet_length("text").alias("k"), "y").agg(F.min("doc_id").alias("doc_id"))
+        single = counted.join(F.broadcast(once.select("doc_id")) if labels.count() <= 2_000_000 else once.select("doc_id"), "doc_id", "left_semi")
+        return Scores.of(count_tables(single))
+
+    scores = count(train & fold)
     known = docs.sparkSession.sparkContext.broadcast(scores)
 
     def best(batches):
@@ -246,13 +251,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibration_rows: int
     held = with_label(docs, chosen, "toxic", F.lit(True)).select("text", "y").mapInArrow(best, "y int, n long, top array<double>").limit(2 * calibration_rows).toPandas()
     y, n = held["y"].to_numpy(float), held["n"].to_numpy(float)
     if not len(y) or y.min() == y.max():
-        return Model(scores, Calibration(1.0, 0.0, np.zeros(3), 0.0))
+        return Model(count(train), Calibration(1.0, 0.0, np.zeros(3), 0.0))
     top = np.array([t[0] if len(t) else 0.0 for t in held["top"]])
     rate, log_k = fit_gumbel(top[y == 0], n[y == 0])
     calibration = Calibration(rate, log_k, np.zeros(3))
     significant = np.array([(calibration.excess(np.asarray(t), np.full(len(t), size)) > -np.log(SIGNIFICANT)).sum() for t, size in zip(held["top"], n, strict=True)])
     calibration.weights = fit_logistic(_evidence(calibration.excess(top, n), significant), y)
-    return Model(scores, calibration)
+    return Model(count(train), calibration)
 
 
 RESULT = "doc_id long, score double, passages array<struct<start:int,stop:int,score:double,expected:double>>"

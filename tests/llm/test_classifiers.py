@@ -98,3 +98,15 @@ def test_passages(spark):
         assert (r.score >= 0.5) == bad and bool(r.passages) == bad
         if bad:
             assert any("vile nasty vile" in text[r.doc_id][p.start : p.stop] for p in r.passages)
+
+
+def test_scores_count_all_labelled(spark):
+    counted = [d for d in range(1, 900) if zlib.crc32(str(d).encode()) % 20 < 15][:200]
+    held = [d for d in range(1, 900) if zlib.crc32(str(d).encode()) % 20 >= 15][:60]
+    rows = [(d, f"plain words number{d} " + ("vile" if d % 2 else "fair"), d % 2) for d in counted]
+    rows += [(d, f"plain words number{d} " + ("gruesome" if d % 2 else "fair"), d % 2) for d in held]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    everything = toxicity.Scores.of(toxicity.count_tables(toxicity.with_label(docs, labels, "toxic", F.lit(True))))
+    assert np.array_equal(model.scores.every, everything.every) and np.array_equal(model.scores.toxic, everything.toxic)
