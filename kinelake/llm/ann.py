@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from kinelake.llm.common import NO_ID, gathered, ids, table
 
 TREES, DEPTH, SHARE, SEED = 192, 24, 1.0, 11
-#: Vectors and queries in a block.
-BLOCK, QUERIES = 8192, 1024
+#: Vectors and queries in a block; a forest is built once for all queries of its block of queries.
+BLOCK, QUERIES = 8192, 8192
 
 
 def usable(vector: Column) -> Column:
@@ -41,12 +41,18 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Single precision for hashing, every component within 1 by one factor for each row."""
+    return (vectors / np.abs(vectors).max(axis=1, keepdims=True)).astype(np.float32)
+
+
 class Forest:
     """Sorted hash strings of the rows of a matrix, for each tree."""
 
     def __init__(self, vectors: np.ndarray, trees: int, depth: int, seed: int):
         rng = np.random.default_rng([seed, vectors.shape[1]])
-        self.planes = rng.standard_normal((trees, vectors.shape[1], depth))
+        self.planes = rng.standard_normal((trees, vectors.shape[1], depth), np.float32)
+        vectors = _scaled(vectors)
         self.depth, self.weights = depth, np.int64(1) << np.arange(depth - 1, -1, -1, dtype=np.int64)
         self.middle, self.order, self.codes = [], [], []
         for plane in self.planes:
@@ -62,7 +68,7 @@ class Forest:
 
     def candidates(self, queries: np.ndarray, share: float, least: int):
         """For each query, the rows that the trees offer once they have ascended far enough."""
-        trees, wanted = len(self.codes), share * self.size
+        trees, wanted, queries = len(self.codes), share * self.size, _scaled(queries)
         code = np.stack([(queries @ p > m) @ self.weights for p, m in zip(self.planes, self.middle, strict=True)])
         begin, end = np.zeros((trees, len(queries)), np.int64), np.full((trees, len(queries)), self.size)
         open_ = np.arange(len(queries))
