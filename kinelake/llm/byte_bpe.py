@@ -98,16 +98,20 @@ def pack(batches, split):
                 found = split(raw[offsets[i] : offsets[i + 1]])
                 seqs.append(np.fromiter(map(number.__getitem__, found), np.uint32, len(found)))
                 counts.append(len(found))
-            seq = np.concatenate(seqs)
             words = [w if isinstance(w, bytes) else w.encode() for w in number]
-            # frequent words get small numbers; ties by the words, which makes a block independent of hashing
-            rank = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[rank] = np.arange(len(words))
-            words = [words[i] for i in rank.tolist()]
-            blob = squeeze(doc[lo:hi], np.array(counts, np.uint32), place[seq] if len(words) else seq, np.array([len(w) for w in words], np.uint32), np.frombuffer(b"".join(words), np.uint8))
-            name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
-            yield pa.record_batch({"g": pa.array([name], pa.int64()), "block": pa.array([blob], pa.binary())})
+            yield block_of(doc[lo:hi], np.array(counts), np.concatenate(seqs), words)
+
+
+def block_of(doc: np.ndarray, counts: np.ndarray, seq: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+    """A block, named by its content, of documents with these word counts and word numbers by position."""
+    # frequent words get small numbers; ties by the words, which makes a block independent of hashing
+    rank = np.argsort(-np.bincount(seq, minlength=len(words)), kind="stable")
+    place = np.empty(len(words), np.uint32)
+    place[rank] = np.arange(len(words))
+    words = [words[i] for i in rank.tolist()]
+    blob = squeeze(doc, counts.astype(np.uint32), place[seq] if len(words) else seq.astype(np.uint32), np.array([len(w) for w in words], np.uint32), np.frombuffer(b"".join(words), np.uint8))
+    name = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "little", signed=True)
+    return pa.record_batch({"g": pa.array([name], pa.int64()), "block": pa.array([blob], pa.binary())})
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -115,12 +119,13 @@ def in_order(docs: DataFrame) -> DataFrame:
     return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).sortWithinPartitions("doc_id", "text")
 
 
-def dealt(words: list[bytes], buckets: int) -> list[tuple[int, list[int]]]:
-    """Word numbers by bucket, in the order of the words."""
-    out: dict[int, list[int]] = {}
-    for i in sorted(range(len(words)), key=words.__getitem__):
-        out.setdefault(zlib.crc32(words[i]) % buckets, []).append(i)
-    return sorted(out.items())
+def dealt(words: list[bytes], buckets: int, ordered: bool = True) -> list[tuple[int, list[int]]]:
+    """Word numbers by bucket; in the order of the words, which compresses better, or of their numbers."""
+    by = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64) if ordered else np.arange(len(words))
+    bucket = (np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets))[by]
+    place = np.argsort(bucket, kind="stable")
+    names, first = np.unique(bucket[place], return_index=True)
+    return [(b, mine.tolist()) for b, mine in zip(names.tolist(), np.split(by[place], first[1:]), strict=True)] if len(words) else []
 
 
 _REQUEST = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("block", pa.binary())])

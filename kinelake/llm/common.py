@@ -12,8 +12,11 @@ a bounded share of the input however large it is.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import glob
 import math
+import os
 import tempfile
 
 import numpy as np
@@ -37,15 +40,43 @@ def return_memory() -> None:
     held.  The C library then maps every block over 4 MB on its own.
     """
     pa.set_memory_pool(pa.system_memory_pool())
+    _keep(4 << 20, 8 << 20)
+
+
+def _keep(mapped: int, spare: int) -> None:
+    """Sizes from which blocks are mapped on their own, and of free memory that the heap keeps."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 4 << 20)  # size from which blocks are mapped
-        libc.mallopt(-1, 8 << 20)  # free memory at the end of the heap that is kept
+        libc.mallopt(-3, mapped)
+        libc.mallopt(-1, spare)
     except (OSError, AttributeError):
         pass  # another C library keeps its own ways
 
 
+@contextlib.contextmanager
+def reused_memory():
+    """For loops over arrays of a few megabytes: the heap keeps them from one turn to the next."""
+    _keep(32 << 20, 64 << 20)
+    try:
+        yield
+    finally:
+        _keep(4 << 20, 8 << 20)
+
+
+def on_one_thread() -> None:
+    """Matrix products run on the calling thread: a task has one core, and idle threads of a pool spin on others."""
+    folder = os.path.join(os.path.dirname(os.path.dirname(np.__file__)), "numpy.libs")
+    for path in glob.glob(os.path.join(folder, "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            try:
+                getattr(ctypes.CDLL(path), name)(1)
+                break
+            except (OSError, AttributeError):
+                continue  # another build keeps its own threads
+
+
 return_memory()
+on_one_thread()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,15 +13,12 @@ import numpy as np
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
-
-
-def softmax_parts(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each row and the logs of the sums."""
-    top = logits.max(axis=1, keepdims=True)
-    e = np.exp(logits - top)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+    """In place, by the hyperbolic tangent of the half."""
+    x *= x.dtype.type(0.5)
+    np.tanh(x, out=x)
+    x += x.dtype.type(1)
+    x *= x.dtype.type(0.5)
+    return x
 
 
 def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
@@ -34,10 +31,15 @@ def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
     return out if top is None else out + top[:, 0]
 
 
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a component of 1, which takes the biases."""
+    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+
+
 class Gru:
-    """Parameters: gate inputs of each token, recurrence, classes, and words of head classes."""
+    """Parameters: gate inputs of each token, recurrence, classes, and words of head classes (the last two with biases)."""
 
-    NAMES = ("x", "u", "c", "cb", "w", "wb")
+    NAMES = ("x", "u", "c", "w")
 
     def __init__(self, inputs: int, hidden: int, classes: int, bounds: np.ndarray, seed: int = 1):
         """bounds: where the words of each head class begin, and their number; head classes come first."""
@@ -45,8 +47,8 @@ class Gru:
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.hidden, self.bounds = hidden, bounds
         self.x, self.u = draw(inputs, 3 * hidden), draw(hidden, 3 * hidden)
-        self.c, self.cb = draw(hidden, classes), np.zeros(classes, np.float32)
-        self.w, self.wb = draw(int(bounds[-1]), hidden), np.zeros(int(bounds[-1]), np.float32)
+        self.c, self.w = draw(hidden + 1, classes), draw(int(bounds[-1]), hidden + 1)
+        self.c[-1], self.w[:, -1] = 0, 0
 
     def parameters(self) -> list[np.ndarray]:
         return [getattr(self, n) for n in self.NAMES]
@@ -55,93 +57,143 @@ class Gru:
         for n, p in zip(self.NAMES, parameters, strict=True):
             setattr(self, n, p.reshape(getattr(self, n).shape).astype(np.float32))
 
-    def step(self, h: np.ndarray, token: np.ndarray):
+    def step(self, h: np.ndarray, gx: np.ndarray):
+        """The next state from the last one and the gate inputs gx."""
         k = self.hidden
-        gx, gh = self.x[token], h @ self.u
+        gh = h @ self.u
         zr = sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
         z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(gx[:, 2 * k :] + r * gh[:, 2 * k :])
-        return n + z * (h - n), (z, r, n, gh[:, 2 * k :])
+        n = r * gh[:, 2 * k :]
+        n += gx[:, 2 * k :]
+        np.tanh(n, out=n)
+        after = h - n
+        after *= z
+        after += n
+        return after, (z, r, n, gh[:, 2 * k :])
+
+    def _bound(self) -> float:
+        """No logit is larger: states lie in (-1, 1)."""
+        return float(max(np.abs(self.c).sum(axis=0).max(), np.abs(self.w).sum(axis=1).max(initial=0)))
 
     def outputs(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
         """Log-probability of each target's class and, in head classes, of the word."""
-        # states lie in (-1, 1), which bounds every logit
-        bound = float(max((np.abs(self.c).sum(axis=0) + np.abs(self.cb)).max(), (np.abs(self.w).sum(axis=1) + np.abs(self.wb)).max(initial=0)))
+        bound, states = self._bound(), _with_one(states)
         logits = states @ self.c
-        logits += self.cb
         logp = logits[np.arange(len(cls)), cls]
         logp -= log_sums(logits, bound)
-        for a, b, mine in self._by_class(cls):
-            logits = states[mine] @ self.w[a:b].T
-            logits += self.wb[a:b]
-            target = logits[np.arange(len(mine)), member[mine] - a]
-            logp[mine] += target - log_sums(logits, bound)
+        by, runs = self._by_class(cls)
+        ordered, target, more = states[by], member[by], np.zeros(len(cls), logp.dtype)
+        for a, b, mine in runs:
+            logits = ordered[mine] @ self.w[a:b].T
+            more[mine] = logits[np.arange(len(logits)), target[mine] - a]
+            more[mine] -= log_sums(logits, bound)
+        logp[by] += more
         return logp
 
     def _by_class(self, cls: np.ndarray):
-        """First and last word of each head class that occurs, and where it does."""
-        by = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[by], np.arange(len(self.bounds)))
-        for k in range(len(self.bounds) - 1):
-            if cuts[k] < cuts[k + 1]:
-                yield self.bounds[k], self.bounds[k + 1], by[cuts[k] : cuts[k + 1]]
+        """The order by class, and of each head class that occurs its first and last word and its run in that order."""
+        by = np.argsort(cls.astype(np.int16), kind="stable")  # short integers sort by radix
+        cuts = np.searchsorted(cls[by], np.arange(len(self.bounds))).tolist()
+        bounds = self.bounds.tolist()
+        return by, [(bounds[k], bounds[k + 1], slice(cuts[k], cuts[k + 1])) for k in range(len(bounds) - 1) if cuts[k] < cuts[k + 1]]
 
     def output_gradients(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray):
         """As outputs(), with the gradients of minus the mean by states and by parameters."""
-        p, log_total = softmax_parts(states @ self.c + self.cb)
-        each = np.arange(len(cls))
-        logp = (states * self.c.T[cls]).sum(axis=1) + self.cb[cls] - log_total
-        p[each, cls] -= 1
-        p /= len(cls)
-        grads = {"c": states.T @ p, "cb": p.sum(axis=0), "w": np.zeros_like(self.w), "wb": np.zeros_like(self.wb)}
-        d = p @ self.c.T
-        for a, b, mine in self._by_class(cls):
-            s, target = states[mine], member[mine] - a
-            logits = s @ self.w[a:b].T + self.wb[a:b]
-            q, log_total = softmax_parts(logits)
-            rows = np.arange(len(mine))
-            logp[mine] += logits[rows, target] - log_total
-            q[rows, target] -= 1
-            q /= len(cls)
-            grads["w"][a:b] = q.T @ s
-            grads["wb"][a:b] = q.sum(axis=0)
-            d[mine] += q @ self.w[a:b]
+        bound, each = self._bound(), np.arange(len(cls))
+
+        def residual(logits, target, rows):
+            """Log-probability of each row's target; logits become probabilities less one at the target."""
+            if bound > 60:
+                logits -= logits.max(axis=1, keepdims=True)
+            logp = logits[rows, target]
+            np.exp(logits, out=logits)
+            total = logits @ np.ones(logits.shape[1], logits.dtype)
+            logits /= total[:, None]
+            logits[rows, target] -= 1
+            return logp - np.log(total)
+
+        k, states = self.hidden, _with_one(states)
+        p = states @ self.c
+        logp = residual(p, cls, each)
+        grads = {"c": states.T @ p, "w": np.zeros_like(self.w)}
+        d = p @ np.ascontiguousarray(self.c[:k].T)
+        by, runs = self._by_class(cls)
+        ordered, target, more, back = states[by], member[by], np.zeros(len(cls), logp.dtype), np.zeros_like(d)
+        for a, b, mine in runs:
+            s, w = ordered[mine], self.w[a:b]
+            q = s @ w.T
+            more[mine] = residual(q, target[mine] - a, each[: len(q)])
+            np.matmul(q.T, s, out=grads["w"][a:b])
+            np.matmul(q, w[:, :k], out=back[mine])
+        logp[by] += more
+        d[by] += back
+        for g in (*grads.values(), d):
+            g /= len(cls)
         return logp, d, grads
 
     def window(self, h: np.ndarray, tokens: np.ndarray, begins: np.ndarray, keep: bool = False):
-        """States after each of tokens (time by lane); begins marks where the state is set back."""
-        states, kept = np.empty((*tokens.shape, self.hidden), np.float32), []
-        for t in range(len(tokens)):
+        """States after each of tokens (time by lane); begins marks where the state is set back.
+
+        With keep, also the states before and, for each gate, what its gradient is
+        of that of the state.
+        """
+        states, kept = np.empty((*tokens.shape, self.hidden), h.dtype), None
+        if keep:
+            kept = [np.empty_like(states) for _ in range(6)]
+        for t, gx in enumerate(self.x[tokens]):
             if begins[t].any():
-                h = np.where(begins[t][:, None], np.float32(0), h)
+                h = np.where(begins[t][:, None], h.dtype.type(0), h)
             before = h
-            h, parts = self.step(h, tokens[t])
+            h, (z, r, n, ghn) = self.step(h, gx)
             states[t] = h
             if keep:
-                kept.append((before, *parts))
+                by_n, by_z, by_r = (x[t] for x in kept[:3])
+                one = h.dtype.type(1)
+                rest = np.subtract(one, z)
+                np.multiply(n, n, out=by_n)
+                np.subtract(one, by_n, out=by_n)
+                by_n *= rest
+                np.subtract(before, n, out=by_z)
+                by_z *= z
+                by_z *= rest
+                np.subtract(one, r, out=by_r)
+                by_r *= r
+                by_r *= ghn
+                kept[3][t], kept[4][t], kept[5][t] = before, z, r
         return states, h, kept
 
     def gradients(self, h, tokens, begins, cls, member):
         """Mean log-probability, the last state, and gradients through one window (truncated there)."""
-        states, last, kept = self.window(h, tokens, begins, keep=True)
+        states, last, (by_n, by_z, by_r, before, z, r) = self.window(h, tokens, begins, keep=True)
         flat = states.reshape(-1, self.hidden)
         logp, d, grads = self.output_gradients(flat, cls.ravel(), member.ravel())
         d, k = d.reshape(states.shape), self.hidden
         back = np.zeros_like(h)
-        gx = np.empty((*tokens.shape, 3 * k), np.float32)
-        du = np.zeros_like(self.u)
+        # gradients of the gates' inputs, as the token gives them and as the state does
+        gx = np.empty((*tokens.shape, 3 * k), d.dtype)
+        gh = np.empty_like(gx)
+        recurrent = np.ascontiguousarray(self.u.T)
         for t in range(len(tokens) - 1, -1, -1):
-            before, z, r, n, ghn = kept[t]
-            dh = d[t] + back
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * ghn * r * (1 - r)
-            dgh = np.concatenate([dz, dr, dn * r], axis=1)
-            gx[t] = np.concatenate([dz, dr, dn], axis=1)
-            du += before.T @ dgh
-            back = np.where(begins[t][:, None], np.float32(0), dh * z + dgh @ self.u.T)
-        grads["u"], grads["x"] = du, np.zeros_like(self.x)
-        np.add.at(grads["x"], tokens.ravel(), gx.reshape(-1, 3 * k))
+            dh = d[t]
+            dh += back
+            dn, own = gx[t, :, 2 * k :], gh[t]
+            np.multiply(dh, by_n[t], out=dn)
+            np.multiply(dh, by_z[t], out=own[:, :k])
+            np.multiply(dn, by_r[t], out=own[:, k : 2 * k])
+            np.multiply(dn, r[t], out=own[:, 2 * k :])
+            back = own @ recurrent
+            dh *= z[t]
+            back += dh
+            if begins[t].any():
+                back[begins[t]] = 0
+        gx[..., : 2 * k] = gh[..., : 2 * k]
+        grads["u"] = before.reshape(-1, k).T @ gh.reshape(-1, 3 * k)
+        # rows of equal tokens are summed in one pass
+        by = np.argsort(tokens.astype(np.int16), axis=None, kind="stable")
+        ordered = tokens.ravel()[by]
+        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        grads["x"] = np.zeros_like(self.x)
+        grads["x"][ordered[at]] = np.add.reduceat(gx.reshape(-1, 3 * k)[by], at)
         return float(logp.mean()), last, [grads[n] for n in self.NAMES]
 
 
@@ -152,16 +204,23 @@ class Adam:
 
     def update(self, parameters: list[np.ndarray], grads: list[np.ndarray]) -> None:
         self.n += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-        scale = np.float32(min(1.0, 1.0 / max(norm, 1e-12)))
-        fix = np.float32(self.rate * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
+        norm = np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads))
+        scale = min(1.0, 1.0 / max(norm, 1e-12))
+        fix = self.rate * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)
         for p, g, m, v in zip(parameters, grads, self.first, self.second, strict=True):
-            g = g * scale
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            v *= np.float32(0.99)
-            v += np.float32(0.01) * g * g
-            p -= fix * m / (np.sqrt(v) + np.float32(1e-8))
+            kind = p.dtype.type
+            part = g * kind(0.1 * scale)
+            m *= kind(0.9)
+            m += part
+            np.multiply(g, g, out=part)
+            part *= kind(0.01 * scale * scale)
+            v *= kind(0.99)
+            v += part
+            np.sqrt(v, out=part)
+            part += kind(1e-8)
+            np.divide(m, part, out=part)
+            part *= kind(fix)
+            p -= part
 
 
 def lanes_of(sizes: np.ndarray, lanes: int) -> list[list[int]]:

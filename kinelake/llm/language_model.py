@@ -1,6 +1,6 @@
 """Document log-likelihood under a gated recurrent language model.
 
-1. Documents are packed into blocks of word numbers (see byte_bpe).  Blocks send
+1. Documents are packed into blocks of word numbers (see blocks_of).  Blocks send
    their distinct words with counts in training documents to buckets; buckets
    answer with the counts over the whole corpus.  So every document's unigram
    score is exact and the vocabulary is never held in one place.
@@ -10,10 +10,12 @@
    count + 1/2; words not seen in training are one further type, a class of its
    own.  This is a distribution over the same V + 1 types as the unigram model.
 3. Training is truncated backpropagation in numpy, spread over blocks: every
-   block trains in one of ROUNDS rounds (and the one of the least name in all).
+   block trains in one of ROUNDS rounds (a round left empty takes the first).
    It trains a copy until all of its training documents were read to their end,
-   and for STEPS windows at least; the copies of a round are averaged.  Words
-   counted once stand for unseen ones half of the time.
+   and for STEPS windows at least; the copies of a round are averaged.  So that
+   lanes end together, a document longer than a lane is read as pieces side by
+   side, each from a fresh state.  Words counted once stand for unseen ones half
+   of the time.
 4. Scoring reads every whole document once; the state is carried across windows
    and set back where a document begins.  The result is mixed with the unigram
    model at the weight UNIGRAM.
@@ -34,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.byte_bpe import BLOCK_BYTES, BUCKET_WORDS, dealt, in_order, pack, words_of
-from kinelake.llm.common import NO_ID, checkpointed, expand, group_count, squeeze, table, text_bytes
+from kinelake.llm.byte_bpe import BLOCK_BYTES, BUCKET_WORDS, block_of, dealt, in_order, words_of
+from kinelake.llm.common import NO_ID, checkpointed, expand, gathered, group_count, ids, packed, pieces, reused_memory, squeeze, table, text_bytes
 from kinelake.llm.gru import Adam, Gru, lanes_of
 from kinelake.llm.labelled import remainder
 
 HEAD, HIDDEN, SUFFIXES = 2048, 32, 16
-ROUNDS, STEPS, LANES, WINDOW, RATE = 4, 150, 32, 32, 0.01
+#: A block is read in LANES lanes, or in fewer (FEWEST at least) where that gives STEPS windows.
+ROUNDS, STEPS, LANES, FEWEST, WINDOW, RATE = 4, 150, 256, 32, 32, 0.01
 SCORE_LANES, SCORE_WINDOW, UNIGRAM = 256, 64, 0.05
 #: The end of a document as a word; no word has a space.
 END = b" "
@@ -100,8 +103,53 @@ def _trains(doc: np.ndarray, rest: int) -> np.ndarray:
     return np.array([d != NO_ID and zlib.crc32(str(d).encode()) % 5 != rest for d in doc.tolist()], bool)
 
 
-def _split(raw: bytes) -> list[bytes]:
-    return [*raw.lower().split(), END]
+#: Whether a byte parts words, and its lower-case form.
+_PARTS = np.isin(np.arange(256), [32, *range(9, 14)])
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def binaries(sizes: np.ndarray, body: np.ndarray) -> pa.LargeBinaryArray:
+    """Values of these sizes, cut one after the other from body."""
+    offsets = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+
+
+def _batches(batches):
+    """Identifiers, bytes of all texts and their offsets; a batch of under half a block goes with the one before."""
+
+    def opened(held):
+        texts = pa.chunked_array([b.column("text") for b in held])
+        return ids(pa.chunked_array([b.column("doc_id") for b in held])), *packed(texts)
+
+    held = []
+    for batch in batches:
+        if held and (len(held) > 1 or batch.nbytes >= BLOCK_BYTES // 2):
+            yield opened(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield opened(held)
+
+
+def blocks_of(batches):
+    """Blocks of whole documents, as byte_bpe.pack makes them, of lower-cased words and an end after each document."""
+    for doc, body, offsets in _batches(batches):
+        for lo, hi in pieces(offsets, BLOCK_BYTES * 3 // 2):
+            text, at = body[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo]
+            inside = ~_PARTS[text]
+            edge = np.empty(len(text), bool)
+            if len(text):
+                edge[0], edge[1:] = True, inside[1:] != inside[:-1]
+            edge[at[at < len(text)]] = True  # words end where documents do
+            begins = np.flatnonzero(edge)
+            ends = np.append(begins[1:], len(text))
+            word = inside[begins]
+            begins, sizes = begins[word], (ends - begins)[word]
+            counts = np.diff(np.append(np.searchsorted(begins, at), len(begins)))
+            coded = binaries(sizes, _LOWER[text[inside]]).dictionary_encode()
+            words = [*coded.dictionary.to_pylist(), END]
+            seq = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(words) - 1)
+            yield block_of(doc[lo:hi], counts + 1, seq, words)
 
 
 REPLY = "g long, bucket int, block binary"
@@ -117,26 +165,27 @@ def _counts(packs: DataFrame, buckets: int, rest: int) -> DataFrame:
         for batch in batches:
             for g, block in zip(batch.column("g").to_pylist(), batch.column("block").to_pylist(), strict=True):
                 doc, n, seq, sizes, body = expand(block)
-                words = words_of(sizes, body)
-                own = np.bincount(seq[np.repeat(_trains(doc, rest), n)], minlength=len(words))
-                for b, mine in dealt(words, buckets):
-                    blob = squeeze(np.array([len(words[i]) for i in mine], np.uint32), np.frombuffer(b"".join([words[i] for i in mine]), np.uint8), own[mine].astype(np.int64))
+                own = np.bincount(seq[np.repeat(_trains(doc, rest), n)], minlength=len(sizes)).astype(np.int64)
+                begin = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+                for b, mine in dealt(words_of(sizes, body), buckets, ordered=False):
+                    blob = squeeze(sizes[mine], gathered(body, begin, np.array(mine))[0], own[mine])
                     yield pa.record_batch([pa.array([g], pa.int64()), pa.array([b], pa.int32()), pa.array([blob], pa.binary())], schema=_REPLY)
 
     def answer(key, data):
         asked = [expand(x) for x in data["block"].to_pylist()]
-        total: dict[bytes, int] = {}
-        lists = [words_of(sizes, body) for sizes, body, _ in asked]
-        for words, (_, _, count) in zip(lists, asked, strict=True):
-            for w, n in zip(words, count.tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
-        out = [squeeze(np.array([total[w] for w in words], np.int64)) for words in lists]
-        known = [(w, n) for w, n in total.items() if n]
-        counts = np.array([n for _, n in known], np.int64)
-        sizes, body = np.array([len(w) for w, _ in known], np.uint32), np.frombuffer(b"".join(w for w, _ in known), np.uint8)
+        sizes, body, counts = (np.concatenate(x) for x in zip(*asked, strict=True))
+        coded = binaries(sizes, body).dictionary_encode()
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        total = np.bincount(place, counts, len(coded.dictionary)).astype(np.int64)  # exact under 2^53
+        out = [squeeze(x) for x in np.split(total[place], np.cumsum([len(x[0]) for x in asked])[:-1])]
+        known = coded.dictionary.filter(pa.array(total > 0))
+        counts, (body, begin) = total[total > 0], packed(known)
+        sizes = np.diff(begin).astype(np.uint32)
         tails = np.bincount(tail_class(counts, sizes, body), counts + 0.5, TAILS)
-        top = sorted(range(len(known)), key=lambda i: (-known[i][1], known[i][0]))[:HEAD]
-        own = squeeze(np.array([counts.sum(), len(known)], np.int64), np.round(tails * 2).astype(np.int64), np.array([known[i][1] for i in top], np.int64), np.array([len(known[i][0]) for i in top], np.uint32), np.frombuffer(b"".join(known[i][0] for i in top), np.uint8))
+        least = np.partition(counts, -HEAD)[-HEAD] if len(counts) > HEAD else 0
+        words = {i: known[i].as_py() for i in np.flatnonzero(counts >= max(least, 1)).tolist()}
+        top = sorted(words, key=lambda i: (-counts[i], words[i]))[:HEAD]
+        own = squeeze(np.array([counts.sum(), len(counts)], np.int64), np.round(tails * 2).astype(np.int64), counts[top].astype(np.int64), sizes[top], np.frombuffer(b"".join(words[i] for i in top), np.uint8))
         names = [*data["g"].to_pylist(), _OWN]
         return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array([key[0].as_py()] * len(names), pa.int32()), pa.array([*out, own], pa.binary())], schema=_REPLY)
 
@@ -172,18 +221,45 @@ class _Block:
         self.words = words_of(sizes, body)
         got = dict(zip(replies["bucket"].to_pylist(), replies["block"].to_pylist(), strict=True))
         self.counts = np.zeros(len(self.words), np.int64)
-        for b, mine in dealt(self.words, buckets):
+        for b, mine in dealt(self.words, buckets, ordered=False):
             self.counts[mine] = expand(got[b])[0]
         self.cls, self.member, self.given, self.share = corpus.describe(self.counts, sizes, body, self.words)
         self.begin = np.concatenate([[0], np.cumsum(self.n.astype(np.int64))])
         self.end = corpus.index.get(END, len(corpus.head) + TAILS)
 
 
-def taking(turn: int, least: int) -> Column:
-    """Whether a block trains in this round: every block does in one, and the one of the least name in all."""
-    return (F.pmod(F.col("g"), F.lit(ROUNDS)) == turn) | (F.col("g") == least)
+def taking(turn: int, used: set[int], least: int) -> Column:
+    """Whether a block trains in this round: every block does in one; a round that would have none takes the block of the least name."""
+    return F.pmod(F.col("g"), F.lit(ROUNDS)) == turn if turn in used else F.col("g") == least
 
 
+def _lanes(block: _Block, pick: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the text as read, time by lane, and whether the state is fresh there.
+
+    Every document of pick is read to its end; lanes that end before the longest
+    go on with any of the pieces.
+    """
+    total = int(block.n[pick].sum())
+    count = int(np.clip(total // (WINDOW * STEPS), FEWEST, LANES))
+    most = max(1, -(-total // count))
+    pieces = [(a, min(a + most, e)) for b, e in zip(block.begin[pick].tolist(), block.begin[pick + 1].tolist(), strict=True) for a in range(b, e, most)]
+    size = np.array([e - a for a, e in pieces])
+    own = lanes_of(size, count)
+    own += [[] for _ in range(count - len(own))]
+    length = -(-max(STEPS * WINDOW, int(max(size[x].sum() for x in own))) // WINDOW) * WINDOW
+    place, fresh = np.empty((length, count), np.int64), np.zeros((length, count), bool)
+    for i, mine in enumerate(own):
+        order, t = rng.permutation(mine).astype(np.int64).tolist(), 0
+        while t < length:
+            a, e = pieces[order.pop() if order else rng.integers(len(pieces))]
+            e = min(e, a + length - t)
+            place[t : t + e - a, i] = np.arange(a, e)
+            fresh[t, i] = True
+            t += e - a
+    return place, fresh
+
+
+@reused_memory()
 def _train(block: _Block, corpus: Corpus, parameters: list[np.ndarray], rest: int, seed: int) -> Gru | None:
     pick = np.flatnonzero(_trains(block.doc, rest))
     if not len(pick):
@@ -196,39 +272,25 @@ def _train(block: _Block, corpus: Corpus, parameters: list[np.ndarray], rest: in
     cls, given = block.cls.copy(), block.given.copy()
     once = np.flatnonzero(block.counts == 1)[::2]
     cls[once], given[once] = corpus.unseen, len(corpus.head) + TAILS
-    # every document belongs to a lane; lanes that end before the longest go on with any documents
-    size = block.n.astype(np.int64)[pick]
-    own = [rng.permutation(pick[docs]).tolist() if docs else [] for docs in lanes_of(size, LANES)]
-    own += [[] for _ in range(LANES - len(own))]
-    steps = max(STEPS, -(-max(sum(int(block.n[d]) for d in docs) for docs in own) // WINDOW))
-    queue: list[int] = []
-    lanes: list[np.ndarray] = [np.zeros(0, np.int64)] * LANES
-    starts: list[np.ndarray] = [np.zeros(0, bool)] * LANES
-    h = np.zeros((LANES, HIDDEN), np.float32)
-    for _ in range(steps):
-        for i in range(LANES):
-            while len(lanes[i]) < WINDOW:
-                if not own[i] and not queue:
-                    queue = rng.permutation(pick).tolist()
-                d = own[i].pop() if own[i] else queue.pop()
-                s = block.seq[block.begin[d] : block.begin[d + 1]]
-                lanes[i] = np.concatenate([lanes[i], s])
-                flag = np.zeros(len(s), bool)
-                flag[0] = True
-                starts[i] = np.concatenate([starts[i], flag])
-        word = np.stack([x[:WINDOW] for x in lanes], 1)
-        first = np.stack([x[:WINDOW] for x in starts], 1)
-        if _ == 0:
-            previous = np.full(LANES, block.end)
-        tokens = np.concatenate([previous[None, :], given[word][:-1]])
+    place, opens = _lanes(block, pick, rng)
+    begins = np.zeros(len(block.seq), bool)
+    begins[block.begin[:-1]] = True
+    opening, h = np.full((1, place.shape[1]), block.end), np.zeros((place.shape[1], HIDDEN), np.float32)
+    for t in range(0, len(place), WINDOW):
+        at, first = place[t : t + WINDOW], opens[t : t + WINDOW]
+        word = block.seq[at]
+        tokens = np.concatenate([opening, given[word]])
+        opening, tokens = tokens[-1:], tokens[:-1]
         tokens[first] = block.end
-        previous = given[word[-1]]
+        # pieces that go on with a document see the word before them
+        inner = first & ~begins[at]
+        tokens[inner] = given[block.seq[at[inner] - 1]]
         _, h, grads = model.gradients(h, tokens, first, cls[word], block.member[word])
         optimizer.update(model.parameters(), grads)
-        lanes, starts = [x[WINDOW:] for x in lanes], [x[WINDOW:] for x in starts]
     return model
 
 
+@reused_memory()
 def _score(block: _Block, corpus: Corpus, model: Gru) -> np.ndarray:
     """Natural log-probability of every document."""
     out = np.zeros(len(block.doc))
@@ -274,13 +336,14 @@ def score_documents(docs: DataFrame, rest: int = 1) -> DataFrame:
     spark = docs.sparkSession
     blocks = group_count(text_bytes(docs), BLOCK_BYTES / 1e6)
     buckets = max(1, round(blocks * BLOCK_BYTES / 200 / BUCKET_WORDS))
-    packs = checkpointed(in_order(docs).mapInArrow(lambda it: pack(it, _split), "g long, block binary").repartition(blocks, "g"))
+    packs = checkpointed(in_order(docs).mapInArrow(blocks_of, "g long, block binary").repartition(blocks, "g"))
     replies = checkpointed(_counts(packs, buckets, rest))
     corpus = _corpus(replies)
     known = spark.sparkContext.broadcast(corpus)
     answers = replies.filter(F.col("g") != _OWN)
     model = corpus.model()
     least = packs.agg(F.min("g")).first()[0]
+    used = {r[0] for r in packs.select(F.pmod(F.col("g"), F.lit(ROUNDS))).distinct().collect()}  # ROUNDS at most
     merged = "sub int, n long, block binary"
 
     def add(key, data):
@@ -304,7 +367,7 @@ def score_documents(docs: DataFrame, rest: int = 1) -> DataFrame:
 
     for r in range(ROUNDS if corpus.tokens else 0):
         given = spark.sparkContext.broadcast(model.parameters())
-        chosen = taking(r, least)
+        chosen = taking(r, used, least)
         copies = packs.filter(chosen).groupBy("g").cogroup(answers.filter(chosen).groupBy("g")).applyInArrow(trainer(given, r), merged)
         # one row: the sum of all copies, of fixed size
         for row in copies.groupBy("sub").applyInArrow(add, merged).groupBy("sub").applyInArrow(add, merged).collect():

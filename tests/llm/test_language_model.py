@@ -5,8 +5,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from kinelake.llm import language_model as lm
+from kinelake.llm.byte_bpe import words_of
+from kinelake.llm.common import NO_ID, expand
 from kinelake.llm.gru import Gru
 
 
@@ -102,6 +105,25 @@ def test_training_reads_every_document_whole(monkeypatch):
 
 
 def test_rounds_cover_all_blocks(spark):
-    blocks = spark.range(-50, 50).withColumnRenamed("id", "g")
-    turns = [{r.g for r in blocks.filter(lm.taking(k, -50)).collect()} for k in range(lm.ROUNDS)]
-    assert set.union(*turns) == set(range(-50, 50)) and sum(map(len, turns)) == 100 + lm.ROUNDS - 1
+    for low, high in ((-50, 50), (-3, -1), (7, 8)):
+        blocks = spark.range(low, high).withColumnRenamed("id", "g")
+        used = {g % lm.ROUNDS for g in range(low, high)}
+        turns = [[r.g for r in blocks.filter(lm.taking(k, used, low)).collect()] for k in range(lm.ROUNDS)]
+        assert set().union(*turns) == set(range(low, high)) and all(turns)
+        assert sum(len(t) for k, t in enumerate(turns) if k in used) == high - low
+
+
+def test_blocks_hold_words_as_split():
+    texts = ["A\tb\x0bé  ", "", "  ", "x y X", "end", "", "é\xa0É"]
+    batch = pa.record_batch({"doc_id": pa.array([1, 2, None, 4, 5, 6, 7], pa.int64()), "text": pa.array(texts)})
+
+    def read(blocks):
+        for b in blocks:
+            doc, n, seq, sizes, body = expand(b.column("block")[0].as_py())
+            words, at = words_of(sizes, body), iter(seq.tolist())
+            yield from [(d, [words[next(at)] for _ in range(k)]) for d, k in zip(doc.tolist(), n.tolist())]
+
+    want = [(d if d is not None else NO_ID, [*t.encode().lower().split(), lm.END]) for d, t in zip(batch.column("doc_id").to_pylist(), texts)]
+    assert list(read(lm.blocks_of(iter([batch])))) == want
+    assert list(read(lm.blocks_of(iter([batch.slice(0, 3), batch.slice(3)])))) == want
+    assert list(read(lm.blocks_of(iter([batch.slice(0, 0)])))) == []
