@@ -220,6 +220,20 @@ def _segments(batch, scores: Scores):
             yield lo + i, b - a, maximal_segments(value[a:b]), begin[a:b] - offsets[i], end[a:b] - offsets[i]
 
 
+def _evidence_of(batch, scores: Scores, law: Calibration):
+    """Of each document: significant segments with first bytes and ends of its tokens; tokens; best score; number of significant segments."""
+    found, n, best, significant = [], [], [], []
+    for _, size, segments, begin, end in _segments(batch, scores):
+        value = np.array([s for _, _, s in segments])
+        excess = law.excess(value, np.full(len(value), size))
+        hits = np.flatnonzero(excess > -np.log(SIGNIFICANT)).tolist()
+        found.append(([(*segments[i], float(excess[i])) for i in hits], begin, end))
+        n.append(size)
+        best.append(value.max() if len(value) else 0.0)
+        significant.append(len(hits))
+    return found, np.array(n, np.int64), np.array(best, float), np.array(significant, np.int64)
+
+
 @dataclass
 class Model:
     scores: Scores
@@ -239,25 +253,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibration_rows: int
     scores = count(train & fold)
     known = docs.sparkSession.sparkContext.broadcast(scores)
 
-    def best(batches):
-        for batch in batches:
-            n, top = [], []
-            for _, size, found, _, _ in _segments(batch, known.value):
-                n.append(size)
-                top.append(sorted((s for _, _, s in found), reverse=True)[:50])
-            yield pa.record_batch({"y": batch.column("y"), "n": pa.array(n, pa.int64()), "top": pa.array(top, pa.list_(pa.float64()))})
-
     chosen = labels.filter(train & ~fold & F.col("toxic").isin(0, 1)).orderBy(F.xxhash64("doc_id")).limit(calibration_rows)
-    held = with_label(docs, chosen, "toxic", F.lit(True)).select("text", "y").mapInArrow(best, "y int, n long, top array<double>").limit(2 * calibration_rows).toPandas()
-    y, n = held["y"].to_numpy(float), held["n"].to_numpy(float)
-    if not len(y) or y.min() == y.max():
+    held = with_label(docs, chosen, "toxic", F.lit(True)).select("text", "y")
+
+    def evidence(law: Calibration):
+        """Label, tokens, best score and number of significant segments of each of these documents."""
+
+        def run(batches):
+            for batch in batches:
+                _, n, best, significant = _evidence_of(batch, known.value, law)
+                yield pa.record_batch({"y": batch.column("y"), "n": pa.array(n), "best": pa.array(best), "significant": pa.array(significant)})
+
+        rows = held.mapInArrow(run, "y int, n long, best double, significant long").limit(2 * calibration_rows).toPandas()
+        return rows.sort_values(["y", "n", "best", "significant"])
+
+    first = evidence(Calibration(1.0, 0.0, np.zeros(3)))
+    if not len(first) or first.y.min() == first.y.max():
         return Model(count(train), Calibration(1.0, 0.0, np.zeros(3), 0.0))
-    top = np.array([t[0] if len(t) else 0.0 for t in held["top"]])
-    rate, log_k = fit_gumbel(top[y == 0], n[y == 0])
-    calibration = Calibration(rate, log_k, np.zeros(3))
-    significant = np.array([(calibration.excess(np.asarray(t), np.full(len(t), size)) > -np.log(SIGNIFICANT)).sum() for t, size in zip(held["top"], n, strict=True)])
-    calibration.weights = fit_logistic(_evidence(calibration.excess(top, n), significant), y)
-    return Model(count(train), calibration)
+    clean = first[first.y == 0]
+    law = Calibration(*fit_gumbel(clean.best.to_numpy(), clean.n.to_numpy(float)), np.zeros(3))
+    found = evidence(law)  # which segments are significant is known only now
+    law.weights = fit_logistic(_evidence(law.excess(found.best.to_numpy(), found.n.to_numpy(float)), found.significant.to_numpy(float)), found.y.to_numpy(float))
+    return Model(count(train), law)
 
 
 RESULT = "doc_id long, score double, passages array<struct<start:int,stop:int,score:double,expected:double>>"
@@ -271,17 +288,9 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         scores, law = known.value.scores, known.value.calibration
         for batch in batches:
-            top, n, found_n, passages = [], [], [], []
-            for _, size, found, begin, end in _segments(batch, scores):
-                value = np.array([s for _, _, s in found])
-                excess = law.excess(value, np.full(len(value), size))
-                hit = np.flatnonzero(excess > -np.log(SIGNIFICANT))
-                top.append(value.max() if len(value) else 0.0)
-                n.append(size)
-                found_n.append(min(len(hit), 50))
-                passages.append([{"start": int(begin[found[i][0]]), "stop": int(end[found[i][1] - 1]), "score": float(value[i]), "expected": float(np.exp(-excess[i]))} for i in hit])
-            score = law.score(np.array(top), np.array(n, float), np.array(found_n, float))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(score), "passages": pa.array(passages, _PASSAGES)})
+            found, n, best, significant = _evidence_of(batch, scores, law)
+            passages = [[{"start": int(begin[a]), "stop": int(end[b - 1]), "score": v, "expected": float(np.exp(-x))} for a, b, v, x in hits] for hits, begin, end in found]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(law.score(best, n, significant)), "passages": pa.array(passages, _PASSAGES)})
 
     return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
 
@@ -293,13 +302,8 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     def run(batches):
         scores, law = known.value.scores, known.value.calibration
         for batch in batches:
-            top, n, hits = [], [], []
-            for _, size, found, _, _ in _segments(batch, scores):
-                value = np.array([s for _, _, s in found])
-                top.append(value.max() if len(value) else 0.0)
-                n.append(size)
-                hits.append(min(50, int((law.excess(value, np.full(len(value), size)) > -np.log(SIGNIFICANT)).sum())))
-            score = law.score(np.array(top), np.array(n, float), np.array(hits, float))
+            _, n, best, significant = _evidence_of(batch, scores, law)
+            score = law.score(best, n, significant)
             yield batch.filter(pa.array(score < cut))
 
     return in_small_batches(docs).mapInArrow(run, docs.schema)
