@@ -22,8 +22,9 @@ share of equal coordinates concentrates around the Jaccard similarity.
 
 Defined results: null text and texts without words have an empty set and are
 linked with nothing.  Rows with one identifier are one document: linked.  Rows
-without identifier take part; a component of such rows only has component_id
-null.  An empty table gives an empty result.  Columns other than doc_id and
+without identifier take part, those of equal texts as one document; a component
+of such rows only has component_id null, and one of its documents is kept.  An
+empty table gives an empty result.  Columns other than doc_id and
 text are not read.
 """
 
@@ -33,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, in_small_batches, packed, pieces, table
@@ -91,18 +92,22 @@ def band_hashes(sketch: np.ndarray, bands: int, depth: int) -> np.ndarray:
 
 
 def _steps(batches):
+    """Names, bytes of texts and their offsets.  A row's name is its identifier, or lies above NAMELESS and comes from its text."""
     for batch in batches:
-        doc = ids(batch.column("doc_id"))
+        doc, digest = ids(batch.column("doc_id")), batch.column("digest").to_numpy(zero_copy_only=False)
+        name = np.where(doc == NO_ID, NAMELESS + (digest.astype(np.int64).view(np.uint64) >> np.uint64(2)).astype(np.int64), doc)
         body, offsets = packed(batch.column("text"))
         for lo, hi in pieces(offsets, STEP):
-            yield doc[lo:hi], body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            yield doc[lo:hi], name[lo:hi], body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def _names(doc: np.ndarray, set_ids: list[bytes]) -> np.ndarray:
-    names = doc.copy()
-    for i in np.flatnonzero(doc == NO_ID).tolist():
-        names[i] = NAMELESS + (int.from_bytes(set_ids[i][:8], "little") >> 2)
-    return names
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _digest().alias("digest"))
+
+
+def _digest() -> Column:
+    """Tells texts of rows without identifier apart; 0 with one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
 
 
 def _set_ids(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -118,31 +123,30 @@ def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int
     """Of each row: its name v, size n of its set, digest of the set and band hashes of its sketch."""
 
     def run(batches):
-        for doc, body, offsets in _steps(batches):
+        for doc, name, body, offsets in _steps(batches):
             values, at = shingle_sets(body, offsets, words)
             set_ids = _set_ids(values, at)
             hashes = band_hashes(sketches(values, at, bands * depth), bands, depth)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
-            yield pa.record_batch({"doc_id": pa.array(doc, mask=doc == NO_ID), "v": pa.array(_names(doc, set_ids)), "n": pa.array(np.diff(at)), "set_id": pa.array(set_ids, pa.binary()), "bands": lists})
+            yield pa.record_batch({"doc_id": pa.array(doc, mask=doc == NO_ID), "v": pa.array(name), "n": pa.array(np.diff(at)), "set_id": pa.array(set_ids, pa.binary()), "bands": lists})
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
+    return _named(in_small_batches(docs)).mapInArrow(run, FEATURES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Full sets (64-bit hashes, ascending) of the vertices in wanted (v)."""
-    named = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(named).alias("u"))
+    texts = _named(docs).withColumn("u", F.coalesce("doc_id", F.lit(NO_ID)))
     asked = wanted.select(F.when(F.col("v") >= NAMELESS, F.lit(NO_ID)).otherwise(F.col("v")).alias("u")).distinct()
     if asked.count() <= BROADCAST_IDS:
         asked = F.broadcast(asked)
 
     def run(batches):
-        for doc, body, offsets in _steps(batches):
+        for _, name, body, offsets in _steps(batches):
             values, at = shingle_sets(body, offsets, words)
-            names, raw = _names(doc, _set_ids(values, at)), values.tobytes()
-            yield pa.record_batch({"v": pa.array(names), "n": pa.array(np.diff(at)), "items": pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+            raw = values.tobytes()
+            yield pa.record_batch({"v": pa.array(name), "n": pa.array(np.diff(at)), "items": pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
-    return texts.join(asked, "u", "left_semi").select("doc_id", "text").mapInArrow(run, SETS)
+    return texts.join(asked, "u", "left_semi").select("doc_id", "text", "digest").mapInArrow(run, SETS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,8 +208,8 @@ def _joining(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept."""
+def _components(docs: DataFrame, percent: int, words: int, bands: int, depth: int) -> DataFrame:
+    """One row a document: doc_id, its name v, n_shingles, and component: the smallest name reachable."""
     found = checkpointed(features(docs, words, bands, depth))
     vertices = found.filter("n > 0").groupBy("set_id").agg(F.min("v").alias("v"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     places = vertices.select("v", "n", F.explode("bands").alias("band"))
@@ -238,8 +242,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, band
     of_set = vertices.select("set_id", F.col("v").alias("rep"))
     rows = found.select("doc_id", "v", "n", "set_id").join(of_set, "set_id", "left")
     rows = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep", "v"))
+    return rows.select("doc_id", "v", F.col("n").alias("n_shingles"), "component")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, words: int = WORDS, bands: int = BANDS, depth: int = DEPTH) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept."""
     out = F.when(F.col("component") < NAMELESS, F.col("component"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), out.alias("component_id"), F.col("doc_id").eqNullSafe(out).alias("kept"))
+    return _components(docs, percent, words, bands, depth).select("doc_id", "n_shingles", out.alias("component_id"), (F.col("v") == F.col("component")).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WORDS, bands: int = 30, depth: int = 4) -> DataFrame:
@@ -247,8 +256,9 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, words: int = WOR
 
     At similarity 0.8 a pair shares none of 30 bands of 4 with probability 1e-7.
     """
-    stay = near_duplicates(docs, percent, words, bands, depth).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    own = F.when(F.col("doc_id").isNull(), F.lit(NAMELESS) + F.shiftrightunsigned(_digest(), 2)).otherwise(F.col("doc_id").cast("long"))
+    stay = _components(docs, percent, words, bands, depth).filter(F.col("v") == F.col("component")).select(F.col("v").alias("_name")).distinct()
+    return docs.join(stay, own == F.col("_name"), "left_semi").select(*docs.columns)
 
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

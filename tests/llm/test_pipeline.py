@@ -57,3 +57,11 @@ def test_odd_rows(spark, rows):
         n = docs.count()
         if name == "exact_dedup":
             assert n == (3 if rows else 0)
+
+
+def test_near_copies_without_identifier(spark):
+    words = [f"w{i}" for i in range(200)]
+    text, other = " ".join(words), " ".join(reversed(words))
+    named = spark.createDataFrame([(None, text), (None, text + " end"), (None, text.replace(" ", "  ")), (7, other), (None, other + " end"), (None, None), (None, "")], "doc_id long, text string")
+    kept = [(r.doc_id, r.text.split()[0] if r.text else r.text) for r in corpus_pipeline.drop_near(spark, named, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(None, "w0"), (7, "w199"), (None, None), (None, "")]))
