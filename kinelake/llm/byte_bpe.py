@@ -26,21 +26,23 @@ text are not read.
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, expand, gathered, group_count, ids, in_small_batches, packed, pieces, squeeze, table, text_bytes
+from kinelake.llm.common import NO_ID, binaries, expand, gathered, group_count, ids, in_small_batches, packed, pieces, squeeze, table, text_bytes, tidied
 
 #: Bytes of text in a block; distinct words in a bucket, about.
 BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 150_000
-#: Documents in an Arrow batch of the result.
-ROWS = 512
+#: Documents and tokens that are put together in one step, about.
+ROWS, TOKENS = 512, 1 << 17
 
 
 class Vocabulary:
@@ -138,7 +140,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     blocks = group_count(text_bytes(docs), BLOCK_BYTES / 1e6)
     # each block of text brings some tens of thousands of words
     buckets = max(1, round(blocks * BLOCK_BYTES / 200 / BUCKET_WORDS))
-    packs = in_order(docs).mapInArrow(lambda it: pack(it, pattern_split(known.value.pattern)), "g long, block binary").repartition(blocks, "g")
+    packs = in_order(docs).mapInArrow(tidied(lambda it: pack(it, pattern_split(known.value.pattern))), "g long, block binary").repartition(blocks, "g")
 
     def ask(batches):
         for batch in batches:
@@ -150,18 +152,19 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     yield pa.record_batch([pa.array([b], pa.int32()), pa.array([g], pa.int64()), pa.array([blob], pa.binary())], schema=_REQUEST)
 
     def answer(key, data):
-        merge, known_ids, out = known.value.encoder(), {}, []
-        for blob in data["block"].to_pylist():
-            sizes, flat = [], []
-            for w in words_of(*expand(blob)):
-                got = known_ids.get(w)
-                if got is None:
-                    got = known_ids[w] = np.array(merge(w), np.uint32)
-                sizes.append(len(got))
-                flat.append(got)
-            out.append(squeeze(np.array(sizes, np.uint32), np.concatenate(flat) if flat else np.zeros(0, np.uint32)))
-        n = len(out)
-        return pa.Table.from_arrays([pa.array([key[0].as_py()] * n, pa.int32()), data["g"].combine_chunks(), pa.array(out, pa.binary())], schema=_REQUEST)
+        parts = [expand(blob) for blob in data["block"].to_pylist()]
+        sizes, body = (np.concatenate(x) for x in zip(*parts, strict=True))
+        coded = binaries(sizes, body).dictionary_encode()  # each distinct word once
+        merge, ids_of, counts = known.value.encoder(), array.array("I"), []
+        for word in coded.dictionary:
+            got = merge(word.as_py())
+            ids_of.extend(got)
+            counts.append(len(got))
+        n = np.array(counts, np.uint32)
+        begins, values = np.concatenate([[0], np.cumsum(n.astype(np.int64))]), np.frombuffer(ids_of, np.uint32)
+        place = coded.indices.to_numpy(zero_copy_only=False)
+        out = [squeeze(n[p], gathered(values, begins, p)[0]) for p in np.split(place, np.cumsum([len(x[0]) for x in parts])[:-1])]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int32()), data["g"].combine_chunks(), pa.array(out, pa.binary())], schema=_REQUEST)
 
     result = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
@@ -170,25 +173,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         replies = {b: x for b, x in zip(answers["bucket"].to_pylist(), answers["block"].to_pylist(), strict=True)}
         for block in data["block"].to_pylist():
             doc, counts, seq, sizes, body = expand(block)
-            words = words_of(sizes, body)
             order, got_sizes, got = [], [], []
-            for b, mine in dealt(words, buckets):
+            for b, mine in dealt(words_of(sizes, body), buckets):
                 n, flat = expand(replies[b])
                 order += mine
                 got_sizes.append(n)
                 got.append(flat)
             begins = np.concatenate([[0], np.cumsum(np.concatenate(got_sizes).astype(np.int64))]) if got else np.zeros(1, np.int64)
             values = np.concatenate(got) if got else np.zeros(0, np.uint32)
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            flat, n = gathered(values, begins, place[seq.astype(np.int64)])
-            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-            parts.append(pa.record_batch([pa.array(doc, pa.int64(), mask=doc == NO_ID), lists], schema=result))
+            place = np.empty(len(sizes), np.int64)
+            place[order] = np.arange(len(sizes))
+            first = np.concatenate([[0], np.cumsum(counts.astype(np.int64))])
+            for lo, hi in pieces(first, TOKENS):
+                flat, n = gathered(values, begins, place[seq[first[lo] : first[hi]]])
+                ends = np.concatenate([[0], np.cumsum(n)])[first[lo : hi + 1] - first[lo]]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
+                parts.append(pa.record_batch([pa.array(doc[lo:hi], pa.int64(), mask=doc[lo:hi] == NO_ID), lists], schema=result))
         return pa.Table.from_batches(parts, result)
 
-    replies = packs.mapInArrow(ask, REQUEST).groupBy("bucket").applyInArrow(answer, REQUEST)
-    return packs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(assemble, "doc_id long, ids array<int>")
+    replies = packs.mapInArrow(tidied(ask), REQUEST).groupBy("bucket").applyInArrow(tidied(answer), REQUEST)
+    return packs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tidied(assemble), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -198,17 +202,17 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def look_up(batches):
         values, begins = known.value.token_bytes()
         for batch in batches:
-            column = batch.column("ids")
-            doc = batch.column("doc_id")
-            for lo in range(0, batch.num_rows, ROWS):
-                part = column.slice(lo, ROWS)
-                flat, sizes = gathered(values, begins, part.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                ends = at[np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64)]
-                raw = flat.tobytes()
-                yield pa.record_batch({"doc_id": doc.slice(lo, ROWS), "ids": part, "decoded": pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
-
-    return in_small_batches(encoded).select("doc_id", "ids").mapInArrow(look_up, "doc_id long, ids array<int>, decoded binary")
+            column, doc = batch.column("ids"), batch.column("doc_id")
+            first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            for lo, hi in pieces(first, TOKENS):
+                for a in range(lo, hi, ROWS):
+                    b = min(a + ROWS, hi)
+                    flat, sizes = gathered(values, begins, column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+                    ends = np.concatenate([[0], np.cumsum(sizes)])[first[a : b + 1] - first[a]]
+                    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)])
+                    yield pa.record_batch({"doc_id": doc.slice(a, b - a), "ids": column.slice(a, b - a), "decoded": raw.cast(pa.binary())})
+
+    return in_small_batches(encoded).select("doc_id", "ids").mapInArrow(tidied(look_up), "doc_id long, ids array<int>, decoded binary")
 
 
 def default_vocabulary() -> Vocabulary:

@@ -53,6 +53,33 @@ def _keep(mapped: int, spare: int) -> None:
         pass  # another C library keeps its own ways
 
 
+def tidied(f):
+    """f, a function of batches or of a group, after which the worker returns what it freed to the system.
+
+    Workers wait for later stages with what lies between their live objects.
+    """
+
+    def release():
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def mapped(batches):
+        yield from f(batches)
+        release()
+
+    def grouped(key, data):
+        out = f(key, data)
+        release()
+        return out
+
+    def cogrouped(key, left, right):
+        out = f(key, left, right)
+        release()
+        return out
+
+    return (mapped, grouped, cogrouped)[f.__code__.co_argcount - 1]
+
+
 @contextlib.contextmanager
 def reused_memory():
     """For loops over arrays of a few megabytes: the heap keeps them from one turn to the next."""
@@ -145,6 +172,12 @@ def packed(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
+def binaries(sizes: np.ndarray, body: np.ndarray) -> pa.LargeBinaryArray:
+    """Values of these sizes, cut one after the other from body."""
+    offsets = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+
+
 def pieces(offsets: np.ndarray, most: int):
     """Ranges of rows of at most `most` bytes each, or of one longer row."""
     n, lo = len(offsets) - 1, 0

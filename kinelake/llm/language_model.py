@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinelake.llm.byte_bpe import BLOCK_BYTES, BUCKET_WORDS, block_of, dealt, in_order, words_of
-from kinelake.llm.common import NO_ID, checkpointed, expand, gathered, group_count, ids, packed, pieces, reused_memory, squeeze, table, text_bytes
+from kinelake.llm.common import NO_ID, binaries, checkpointed, expand, gathered, group_count, ids, packed, pieces, reused_memory, squeeze, table, text_bytes
 from kinelake.llm.gru import Adam, Gru, lanes_of
 from kinelake.llm.labelled import remainder
 
@@ -108,12 +108,6 @@ _PARTS = np.isin(np.arange(256), [32, *range(9, 14)])
 _LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 
 
-def binaries(sizes: np.ndarray, body: np.ndarray) -> pa.LargeBinaryArray:
-    """Values of these sizes, cut one after the other from body."""
-    offsets = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-
-
 def _batches(batches):
     """Identifiers, bytes of all texts and their offsets; a batch of under half a block goes with the one before."""
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, in_small_batches, packed, pieces, table
+from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, in_small_batches, packed, pieces, table, tidied
 from kinelake.llm.components import connected_components
 from kinelake.llm.textkernels import mix, shingle_sets
 
@@ -130,7 +130,7 @@ def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
             yield pa.record_batch({"doc_id": pa.array(doc, mask=doc == NO_ID), "v": pa.array(name), "n": pa.array(np.diff(at)), "set_id": pa.array(set_ids, pa.binary()), "bands": lists})
 
-    return _named(in_small_batches(docs)).mapInArrow(run, FEATURES)
+    return _named(in_small_batches(docs)).mapInArrow(tidied(run), FEATURES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             raw = values.tobytes()
             yield pa.record_batch({"v": pa.array(name), "n": pa.array(np.diff(at)), "items": pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
-    return texts.join(asked, "u", "left_semi").select("doc_id", "text", "digest").mapInArrow(run, SETS)
+    return texts.join(asked, "u", "left_semi").select("doc_id", "text", "digest").mapInArrow(tidied(run), SETS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     items = sets.select("v", "items")
     full = pairs.join(items.withColumnsRenamed({"v": "a", "items": "x"}), "a").join(items.withColumnsRenamed({"v": "b", "items": "y"}), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def _joining(percent: int):

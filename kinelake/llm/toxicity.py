@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import expand, in_small_batches, packed, pieces, squeeze, table
+from kinelake.llm.common import expand, in_small_batches, packed, pieces, squeeze, table, tidied
 from kinelake.llm.labelled import remainder, with_label
 from kinelake.llm.textkernels import _FOLD, mix, word_hashes
 
@@ -96,7 +96,7 @@ def count_tables(rows: DataFrame) -> np.ndarray:
         return pa.table({"part": pa.array([data["part"][0].as_py()], pa.int32()), "sub": pa.array([0], pa.int32()), "block": pa.array([squeeze(total, docs)], pa.binary())})
 
     schema = "part int, sub int, block binary"
-    got = rows.select("text", "y").mapInArrow(count, schema).groupBy("part", "sub").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    got = rows.select("text", "y").mapInArrow(tidied(count), schema).groupBy("part", "sub").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
     # PARTS blocks of a fixed size
     blocks = {r.part: expand(bytes(r.block)) for r in got.collect()}
     if not blocks:
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, calibration_rows: int
                 _, n, best, significant = _evidence_of(batch, known.value, law)
                 yield pa.record_batch({"y": batch.column("y"), "n": pa.array(n), "best": pa.array(best), "significant": pa.array(significant)})
 
-        rows = held.mapInArrow(run, "y int, n long, best double, significant long").limit(2 * calibration_rows).toPandas()
+        rows = held.mapInArrow(tidied(run), "y int, n long, best double, significant long").limit(2 * calibration_rows).toPandas()
         return rows.sort_values(["y", "n", "best", "significant"])
 
     first = evidence(Calibration(1.0, 0.0, np.zeros(3)))
@@ -292,7 +292,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
             passages = [[{"start": int(begin[a]), "stop": int(end[b - 1]), "score": v, "expected": float(np.exp(-x))} for a, b, v, x in hits] for hits, begin, end in found]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(law.score(best, n, significant)), "passages": pa.array(passages, _PASSAGES)})
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), RESULT)
 
 
 def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
@@ -306,7 +306,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
             score = law.score(best, n, significant)
             yield batch.filter(pa.array(score < cut))
 
-    return in_small_batches(docs).mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(tidied(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
