@@ -141,23 +141,24 @@ def contacts(forward: np.ndarray, fs: float, step_frequency: float, sign: int =
     return np.unique(np.array(first, np.int64)), final
 
 
-def strides_of(first: np.ndarray, final: np.ndarray, fs: float, step_time: float, max_stride: float | None = None, loading: float = 0.17) -> list[tuple[int, int, int, int]]:
+def strides_of(first: np.ndarray, final: np.ndarray, fs: float, step_time: float, max_stride: float | None = None, loading: float = 0.17, strict: bool = True) -> list[tuple[int, int, int, int]]:
     """Strides (ic, fc, fc_opp, forward_cycles) whose contacts follow each other in time.
 
     An initial contact needs the other foot's final contact, alone, within the
-    loading time, its own within stance, and none of its kind before the first.
+    loading time, its own within stance, and, if strict, none of its kind before
+    the first and no final contact at the same sample.
     """
     longest = max_stride or 2 * step_time + 1.0
     load = loading * longest
     stance = longest / 2 + load
-    free = np.array([f not in set(first.tolist()) for f in final.tolist()], bool)
+    free = ~np.isin(final, first) if strict else np.ones(len(final), bool)
     rows = []
-    for i, ic in enumerate(first[:-1].tolist()):
+    for i, ic in enumerate((first[:-1] if strict else first).tolist()):
         ahead = np.flatnonzero((final > ic) & free)
         if not len(ahead):
             continue
         after = (final[ahead] - ic) / fs
-        if (first[i + 1] - ic) / fs < after[0] or (after < load).sum() != 1 or (after < stance).sum() < 2:
+        if strict and (first[i + 1] - ic) / fs < after[0] or (after < load).sum() != 1 or (after < stance).sum() < 2:
             continue
         rows.append([ic, int(final[ahead[1]]), int(final[ahead[0]]), 0])
         free[ahead[0]] = False
@@ -178,6 +179,19 @@ def _fall(vertical: np.ndarray, ic: int, ic_next: int, fc_opp: int, fs: float) -
     return span(twice(vertical[ic:ic_next])), span(wide[fc_opp - lo : ic_next - lo]), span(wide[ic - lo : fc_opp - lo])
 
 
+STRIDES = "recording_id long, day_n int, bout_n long, stride_idx long, ic long, fc long, fc_opp long, forward_cycles long, h1 double, h2 double, h2b double"
+_STRIDES = pa.schema([(KEY, pa.int64()), ("day_n", pa.int32()), ("bout_n", pa.int64()), ("stride_idx", pa.int64()), ("ic", pa.int64()), ("fc", pa.int64()), ("fc_opp", pa.int64()), ("forward_cycles", pa.int64()), ("h1", pa.float64()), ("h2", pa.float64()), ("h2b", pa.float64())])
+
+
+def stride_rows(key, vertical: np.ndarray, strides: list[tuple[int, int, int, int]], fs: float) -> pa.Table:
+    """The stride table of one bout from its strides and its vertical acceleration without trend."""
+    out = []
+    for k, (ic, fc, opp, cycles) in enumerate(strides):
+        h = _fall(vertical, ic, strides[k + 1][0], opp, fs) if cycles >= 1 and k + 1 < len(strides) else (None,) * 3
+        out.append((key[0].as_py(), key[1].as_py(), key[2].as_py(), k, ic, fc, opp, cycles, *h))
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), _STRIDES, strict=True)], schema=_STRIDES) if out else _STRIDES.empty_table()
+
+
 def gait_bouts(df: DataFrame, fs: float, step_frequency: float | None = None) -> DataFrame:
     """Stride table of bouts: recording_id, day_n, bout_n and columns for operators.gait.
 
@@ -187,26 +201,17 @@ def gait_bouts(df: DataFrame, fs: float, step_frequency: float | None = None) ->
     filter gives no strides.
     """
     low = dsp.butterworth(4, 20 / (fs / 2), "low") if fs > 40 else None
-    schema = pa.schema([(KEY, pa.int64()), ("day_n", pa.int32()), ("bout_n", pa.int64()), ("stride_idx", pa.int64()), ("ic", pa.int64()), ("fc", pa.int64()), ("fc_opp", pa.int64()), ("forward_cycles", pa.int64()), ("h1", pa.float64()), ("h2", pa.float64()), ("h2b", pa.float64())])
-
     def run(key, data):
         data = data.sort_by("sample_idx")
         v, ap = data["v"].to_numpy(), data["ap"].to_numpy()
         try:
             v, ap = (dsp.zero_phase(low, x) if low is not None else x for x in (v, ap))
         except ValueError:
-            return schema.empty_table()
+            return _STRIDES.empty_table()
         f = step_frequency or _step_frequency(detrended(v), fs)
-        rows = strides_of(*contacts(detrended(ap), fs, f), fs, 1 / f)
-        out = []
-        for k, (ic, fc, opp, cycles) in enumerate(rows):
-            h = _fall(detrended(v), ic, rows[k + 1][0], opp, fs) if cycles >= 1 and k + 1 < len(rows) else (None,) * 3
-            out.append((key[0].as_py(), key[1].as_py(), key[2].as_py(), k, ic, fc, opp, cycles, *h))
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else schema.empty_table()
-
-    kinds = "recording_id long, day_n int, bout_n long, stride_idx long, ic long, fc long, fc_opp long, forward_cycles long, h1 double, h2 double, h2b double"
-    return df.groupBy(KEY, "day_n", "bout_n").applyInArrow(run, kinds)
+        return stride_rows(key, detrended(v), strides_of(*contacts(detrended(ap), fs, f), fs, 1 / f), fs)
 
+    return df.groupBy(KEY, "day_n", "bout_n").applyInArrow(run, STRIDES)
 
 def _step_frequency(x: np.ndarray, fs: float) -> float:
     size = 2 ** int(np.ceil(np.log2(2 * len(x))))

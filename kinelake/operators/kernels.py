@@ -92,6 +92,26 @@ def filtered(df: DataFrame, key: str, fs: float, order: int, cutoff: float | tup
     return per_recording(df.select(KEY, "sample_idx", "x"), run, "sample_idx long, y double")
 
 
+def low_passed(df: DataFrame, values: list[str], share: float) -> DataFrame:
+    """sample_idx, t and values after a zero-phase low-pass at `share` of half the sampling rate, as goes before thinning out.
+
+    Recordings too short for the filter stay as they are.
+    """
+    sos = dsp.chebyshev_low(8, 0.05, share)
+
+    def run(data):
+        out = {"sample_idx": data["sample_idx"].to_numpy(), "t": data["t"].to_numpy()}
+        for v in values:
+            x = data[v].to_numpy().astype(float)
+            try:
+                out[v] = dsp.zero_phase(sos, x)
+            except ValueError:
+                out[v] = x
+        return out
+
+    return per_recording(df.select(KEY, "sample_idx", "t", *values), run, "sample_idx long, t double, " + ", ".join(f"{v} double" for v in values))
+
+
 def _axes(data: pa.Table) -> np.ndarray:
     return np.stack([data[a].to_numpy() for a in ("ax", "ay", "az")], axis=1)
 
@@ -181,6 +201,43 @@ def motion(df: DataFrame, fs: float, cutoff: float = 6.0, order: int = 6, limit:
     return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "second long, moving boolean")
 
 
+def motion_by_deviation(df: DataFrame, fs: float = 20.0, low: float = 3.0, low_order: int = 6, high: float = 0.25, high_order: int = 1, variation: float = 0.41, deviation: float = 0.013) -> DataFrame:
+    """Whether each second moves, by either of two signs.
+
+    Half of the second's moving seconds vary, against their mean, more than
+    `variation` once the magnitude is low- and high-passed; or one axis deviates
+    by `deviation` at least.  Seconds whose moving ones go beyond the recording
+    have no row.
+    """
+    if fs < 20:
+        raise ValueError(f"motion needs 20 Hz, not {fs}")
+    sections, w = (dsp.butterworth(low_order, low / (fs / 2), "low"), dsp.butterworth(high_order, high / (fs / 2), "high")), int(fs)
+
+    def run(data):
+        a = _axes(data)
+        try:
+            y = np.linalg.norm(a, axis=1)
+            for sos in sections:
+                y = dsp.zero_phase(sos, y)
+            view = np.lib.stride_tricks.sliding_window_view(y, w)
+        except ValueError:
+            return {"second": np.zeros(0, np.int64), "moving": np.zeros(0, bool)}
+        vary = view.std(axis=1, ddof=1) / (np.abs(view.mean(axis=1)) + 0.01) >= variation
+        n = len(vary) // w
+        still = a[: n * w].reshape(n, w, 3).std(axis=1, ddof=1).max(axis=1) < deviation
+        return {"second": np.arange(n), "moving": (vary[: n * w].reshape(n, w).mean(axis=1) >= 0.5) | ~still}
+
+    return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "second long, moving boolean")
+
+
+def moving_bouts(seconds: DataFrame, fs: float) -> DataFrame:
+    """Runs of moving seconds (recording_id, start_idx, stop_idx) in samples."""
+    from kinelake.operators.intervals import runs
+
+    states = seconds.select(KEY, F.col("second").alias("sample_idx"), F.col("moving").cast("int").alias("state"))
+    return runs(states, "state").filter("state = 1").select(KEY, *[(F.col(c) * int(fs)).alias(c) for c in ("start_idx", "stop_idx")])
+
+
 def peaks(df: DataFrame, value: str, height: float | None = None, distance: float | None = None, prominence: float | None = None) -> DataFrame:
     def run(data):
         x = data[value].to_numpy()

@@ -50,17 +50,41 @@ def decimated(df: DataFrame, factor: int) -> DataFrame:
 
 
 def interpolated(df: DataFrame, values: list[str], step: float) -> DataFrame:
-    """Linear interpolation on the grid t0 + k step, by one sort of samples and grid together."""
+    """Linear interpolation on the grid t0 + k step."""
     ends = df.groupBy(KEY).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     grid = ends.select(KEY, F.col("t0"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("t1") - F.col("t0")) / step + 1e-9).cast("long"))).alias("k"))
-    points = grid.select(KEY, (F.col("t0") + F.col("k") * step).alias("t"), "k", *[F.lit(None).cast("double").alias(v) for v in values], F.lit(None).cast("double").alias("_ts"))
+    return interpolated_at(df, values, grid.select(KEY, F.col("k").alias("sample_idx"), (F.col("t0") + F.col("k") * step).alias("t")))
+
+
+def interpolated_at(df: DataFrame, values: list[str], times: DataFrame) -> DataFrame:
+    """Linear interpolation at times (recording_id, sample_idx, t), by one sort of samples and times together.
+
+    Before the first and after the last sample their values hold.
+    """
+    points = times.select(KEY, "t", F.col("sample_idx").alias("k"), *[F.lit(None).cast("double").alias(v) for v in values], F.lit(None).cast("double").alias("_ts"))
     both = df.select(KEY, "t", F.lit(None).cast("long").alias("k"), *values, F.col("t").alias("_ts")).unionByName(points)
     by = Window.partitionBy(KEY).orderBy("t", F.col("k").asc_nulls_first())
     back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
     near = {f"_{side}_{v}": f(v, ignorenulls=True).over(w) for v in [*values, "_ts"] for side, f, w in (("a", F.last, back), ("b", F.first, ahead))}
     out = both.withColumns(near).filter("k is not null")
     share = F.coalesce(F.try_divide(F.col("t") - F.col("_a__ts"), F.col("_b__ts") - F.col("_a__ts")), F.lit(0.0))
-    return out.select(KEY, F.col("k").alias("sample_idx"), "t", *[(F.col(f"_a_{v}") + share * (F.coalesce(f"_b_{v}", f"_a_{v}") - F.col(f"_a_{v}"))).alias(v) for v in values])
+    between = lambda a, b: F.coalesce(a, b) + share * (F.coalesce(b, a) - F.coalesce(a, b))
+    return out.select(KEY, F.col("k").alias("sample_idx"), "t", *[between(F.col(f"_a_{v}"), F.col(f"_b_{v}")).alias(v) for v in values])
+
+
+def resampled(df: DataFrame, values: list[str], fs: float, goal: float, low_pass: bool = True) -> DataFrame:
+    """Samples at `goal` Hz: every k-th where fs is a multiple, otherwise interpolated.
+
+    Unless the rate goes up, a low-pass goes before, so that nothing above half
+    the new rate folds back.
+    """
+    factor = fs / goal
+    whole = float(factor).is_integer()
+    if low_pass and factor >= 1:
+        from kinelake.operators.kernels import low_passed
+
+        df = low_passed(df, values, 0.8 / factor if whole else 1 / factor)
+    return decimated(df, int(factor)).select(KEY, "sample_idx", "t", *values) if whole and factor > 1 else interpolated(df, values, 1 / goal)
 
 
 def mapped_index(start_t: Column, t0: Column, fs: float) -> Column:
@@ -104,10 +128,16 @@ def concatenated(first: DataFrame, second: DataFrame, require_all: bool = False)
     return both.withColumn("sample_idx", (F.row_number().over(Window.partitionBy(KEY).orderBy("t")) - 1).cast("long"))
 
 
-def combined(first: DataFrame, second: DataFrame, step: float, one: list[str], two: list[str]) -> DataFrame:
-    """Streams of one period on a common grid, cut at the earlier end."""
-    a, b = interpolated(first, one, step), interpolated(second, two, step)
-    return a.join(b.drop("t"), [KEY, "sample_idx"])
+def combined(first: DataFrame, second: DataFrame, step: float, one: list[str], two: list[str], rates: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """Streams of one period on a common grid, cut at the earlier end.
+
+    A stream whose rate (Hz) is given is low-passed before it is thinned out.
+    """
+
+    def on_grid(df, values, fs):
+        return interpolated(df, values, step) if fs is None else resampled(df, values, fs, 1 / step)
+
+    return on_grid(first, one, rates[0]).join(on_grid(second, two, rates[1]).drop("t"), [KEY, "sample_idx"])
 
 
 def local_date(t: Column, tz: str, base_hour: int = 0) -> Column:

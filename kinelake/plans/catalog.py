@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import axes, features
 from kinelake.functions.cutpoints import level_range
 from kinelake.functions.fragmentation import fragmentation
-from kinelake.operators import activity, detectors, gait, gait_kernels, intervals, kernels, sleep, timeline, wear, windows
+from kinelake.operators import activity, classifiers, detectors, gait, gait_kernels, intervals, kernels, sleep, timeline, walking, wear, windows
 from kinelake.plans import signals as sg
 from kinelake.plans.signals import RUNS, SERIES, STATES, STRIDES, TRIAX, WINDOWS
 
@@ -652,3 +652,21 @@ def _walks(s, d):
 
 
 _add("gait_signal_endpoints", lambda s, d: _rounded(gait_kernels.signal_endpoints(_walks(s, d), detectors.gait_bouts(_walks(s, d), 20.0, 1.8), 20.0)))
+
+
+def _timed(s, d, fs):
+    return sg.triax(s, d).withColumn("t", F.col("sample_idx") / fs)
+
+
+def _raw_walks(s, d):
+    return sg.triax(s, d).select("recording_id", F.lit(1).alias("day_n"), F.floor(F.col("sample_idx") / 300).cast("long").alias("bout_n"), (F.col("sample_idx") % 300).alias("sample_idx"), "ax", "ay", "az")
+
+
+_add("resample_low_passed", lambda s, d: _rounded(timeline.resampled(_timed(s, d, 100.0), ["ax", "ay", "az"], 100.0, 50.0)))
+_add("resample_low_passed_interp", lambda s, d: _rounded(timeline.resampled(_timed(s, d, 50.0), ["ax", "ay", "az"], 50.0, 20.0)))
+_add("motion_deviation", lambda s, d: kernels.motion_by_deviation(sg.triax(s, d), 20.0, variation=0.9, deviation=1.2))
+_add("gait_prepared_bouts", lambda s, d: _rounded(walking.prepared_bouts(_raw_walks(s, d), 20.0, cutoff=8.0)))
+_add("gait_vertical_strides", lambda s, d: _rounded(walking.walking_strides(walking.prepared_bouts(_raw_walks(s, d), 20.0, cutoff=8.0), 20.0, "vertical")))
+_add("gait_legacy_strides", lambda s, d: _rounded(walking.legacy_strides(_raw_walks(s, d), 20.0, cutoff=8.0)))
+_add("walking_features", lambda s, d: _rounded(classifiers.walking_features(sg.triax(s, d), 20.0)))
+_add("ambulation_features", lambda s, d: _rounded(classifiers.ambulation_features(sg.triax(s, d))))

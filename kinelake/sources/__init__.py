@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from kinelake.sources.avro import EmpaticaSource
 from kinelake.sources.binary import AxivitySource, GeneActivSource, NumpySource
 
 
 def register(spark: SparkSession) -> None:
-    for source in (AxivitySource, GeneActivSource, NumpySource):
+    for source in (AxivitySource, EmpaticaSource, GeneActivSource, NumpySource):
         spark.dataSource.register(source)
