@@ -48,26 +48,25 @@ def _windows(signal: DataFrame, length: int) -> DataFrame:
     return signal.select(F.struct(F.col(KEY).alias(KEY), F.floor(F.col("sample_idx") / length).cast("long").alias("window")).alias("w"), (F.col("sample_idx") % length).alias("i"), "x")
 
 
-def _magnitudes(df: DataFrame, f, length: int) -> DataFrame:
+def _magnitudes(df: DataFrame, f, length: int, margin: int) -> DataFrame:
     """f(magnitude) of each recording, cut to whole windows; recordings too short for it give no rows."""
 
-    def run(data):
-        m = np.linalg.norm(kernels._axes(data), axis=1)
+    def run(data, lo, hi):
+        n = (hi - lo) // length * length
         try:
-            y = f(m)
+            y = f(np.linalg.norm(kernels._axes(data), axis=1))[lo : lo + n]
         except ValueError:
             y = np.zeros(0)
-        y = y[: len(y) // length * length]
-        return {"sample_idx": np.arange(len(y)), "x": y}
+        return {"sample_idx": data["sample_idx"].to_numpy()[lo : lo + len(y)], "x": y}
 
-    return kernels.per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "sample_idx long, x double")
+    return kernels.per_part(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "sample_idx long, x double", margin, length)
 
 
 def walking_features(df: DataFrame, fs: float) -> DataFrame:
     """recording_id, window and the features WALKING of three-second windows of the band-passed magnitude, at 20 or 50 Hz."""
     length = int(fs * SECONDS)
     band = dsp.butterworth(1, (0.25 / (fs / 2), 5.0 / (fs / 2)), "band")
-    w = _windows(_magnitudes(df, lambda m: dsp.zero_phase(band, m), length), length)
+    w = _windows(_magnitudes(df, lambda m: dsp.zero_phase(band, m), length, kernels.forgotten(band)), length)
     bank = ft.Bank(
         mean_cross_rate=ft.mean_cross_rate(), value_range=ft.value_range(), rms=ft.rms(), autocorrelation=ft.autocorrelation(), iqr=ft.iqr(), range_count_percentage=ft.range_count_percentage(0.4, 1.5),
         complexity_invariant_distance=ft.complexity_invariant_distance(), mean=ft.mean(), jerk_metric=ft.jerk_metric(fs), dimensionless_jerk=ft.dimensionless_jerk("acceleration", log=True), linear_slope=ft.linear_slope(fs),
@@ -92,7 +91,7 @@ def ambulation_features(df: DataFrame, moments: int = 4) -> DataFrame:
     fs, length = 20.0, 60
     high, taps = dsp.butterworth(1, 0.25 / (fs / 2), "high"), dsp.daubechies(moments)
     each = lambda m: np.concatenate([np.zeros(0), *(dsp.zero_phase(high, w) for w in m[: len(m) // length * length].reshape(-1, length))])
-    w = _windows(_magnitudes(df, each, length), length)
+    w = _windows(_magnitudes(df, each, length, 0), length)
     bank = ft.Bank(
         mean=ft.mean(), mean_cross_rate=ft.mean_cross_rate(), std_dev=ft.std_dev(), skewness=ft.skewness(), kurtosis=ft.kurtosis(), value_range=ft.value_range(), iqr=ft.iqr(), autocorrelation_1=ft.autocorrelation(),
         linear_slope=ft.linear_slope(fs), range_count_percentage=ft.range_count_percentage(0.0, 1.0), jerk_metric=ft.jerk_metric(fs),

@@ -1,4 +1,9 @@
-"""Operators that need numpy kernels, each over Arrow groups of one recording or of bounded sets of windows."""
+"""Operators that need numpy kernels, each over Arrow groups of a part of a recording or of bounded sets of windows.
+
+Filters are local once they have forgotten what came before, so a part is read
+with a margin on both sides and no task holds a long recording.  Rules that carry
+a state over hours run over a recording's epochs or blocks.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinelake.functions import dsp
-from kinelake.operators.windows import KEY
+from kinelake.operators.windows import KEY, epochs
 
-#: Windows that one Arrow group holds, about.
-GROUP = 1024
+#: Samples of a part of a recording.
+PART = 1 << 19
 
 
 def _sorted(data: pa.Table) -> pa.Table:
@@ -33,6 +38,35 @@ def per_recording(df: DataFrame, f, schema: str) -> DataFrame:
     return df.groupBy(KEY).applyInArrow(run, f"{KEY} {kind}, {schema}")
 
 
+def forgotten(*filters: np.ndarray, to: float = 1e-14) -> int:
+    """Samples after which filters, given as sections or as denominators, feel what came before by a share of `to` at most."""
+    poles = np.concatenate([np.roots(a) for f in filters for a in (f[:, 3:] if f.ndim == 2 else f[None, :])])
+    largest = float(np.abs(poles).max(initial=0.0))
+    return int(np.ceil(np.log(to) / np.log(max(min(largest, 1 - 1e-9), 1e-3)))) + 64
+
+
+def per_part(df: DataFrame, f, schema: str, margin: int, multiple: int = 1) -> DataFrame:
+    """f(table in sample order, lo, hi) -> dict of columns of the rows from lo to hi, for each part of each recording.
+
+    A part has PART samples, or the next multiple of `multiple` that holds the
+    margin; the table goes `margin` samples beyond it where the recording does.
+    """
+    size = -(-max(PART, margin, 1) // multiple) * multiple
+    own, place = F.floor(F.col("sample_idx") / size).cast("long"), F.col("sample_idx") % size
+    parts = F.array_compact(F.array(own, F.when((own > 0) & (place < margin), own - 1), F.when(place >= size - margin, own + 1)))
+
+    def run(key, data):
+        data = _sorted(data)
+        at = data["sample_idx"].to_numpy()
+        lo, hi = np.searchsorted(at, (key[1].as_py() * size, (key[1].as_py() + 1) * size)).tolist()
+        out = f(data, lo, hi) if hi > lo else f(data.slice(0, 0), 0, 0)
+        n = len(next(iter(out.values())))
+        return pa.table({KEY: pa.array([key[0].as_py()] * n, data.schema.field(KEY).type), **{k: pa.array(v) for k, v in out.items()}})
+
+    kind = dict(df.dtypes)[KEY]
+    return df.withColumn("_part", F.explode(parts)).groupBy(KEY, "_part").applyInArrow(run, f"{KEY} {kind}, {schema}")
+
+
 def per_window(df: DataFrame, key: str, f, schema: str, size: int | None = None) -> DataFrame:
     """f(matrix of equally long windows) -> dict of columns, over windows with columns key, i, x (of `size` samples only, if given)."""
     arrays = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("_w")).select(key, F.transform("_w", lambda p: p["x"]).alias("_w"))
@@ -82,14 +116,14 @@ def filtered(df: DataFrame, key: str, fs: float, order: int, cutoff: float | tup
     """Zero-phase Butterworth of column x as y; recordings too short for it give no rows."""
     sos = dsp.butterworth(order, np.asarray(cutoff) / (fs / 2), kind)
 
-    def run(data):
-        x = data["x"].to_numpy()
+    def run(data, lo, hi):
         try:
-            return {"sample_idx": data["sample_idx"].to_numpy(), "y": dsp.zero_phase(sos, x)}
+            y = dsp.zero_phase(sos, data["x"].to_numpy())[lo:hi]
         except ValueError:
-            return {"sample_idx": np.zeros(0, np.int64), "y": np.zeros(0)}
+            y, hi = np.zeros(0), lo
+        return {"sample_idx": data["sample_idx"].to_numpy()[lo:hi], "y": y}
 
-    return per_recording(df.select(KEY, "sample_idx", "x"), run, "sample_idx long, y double")
+    return per_part(df.select(KEY, "sample_idx", "x"), run, "sample_idx long, y double", forgotten(sos))
 
 
 def low_passed(df: DataFrame, values: list[str], share: float) -> DataFrame:
@@ -99,26 +133,38 @@ def low_passed(df: DataFrame, values: list[str], share: float) -> DataFrame:
     """
     sos = dsp.chebyshev_low(8, 0.05, share)
 
-    def run(data):
-        out = {"sample_idx": data["sample_idx"].to_numpy(), "t": data["t"].to_numpy()}
+    def run(data, lo, hi):
+        out = {c: data[c].to_numpy()[lo:hi] for c in ("sample_idx", "t")}
         for v in values:
             x = data[v].to_numpy().astype(float)
             try:
-                out[v] = dsp.zero_phase(sos, x)
+                out[v] = dsp.zero_phase(sos, x)[lo:hi]
             except ValueError:
-                out[v] = x
+                out[v] = x[lo:hi]
         return out
 
-    return per_recording(df.select(KEY, "sample_idx", "t", *values), run, "sample_idx long, t double, " + ", ".join(f"{v} double" for v in values))
+    return per_part(df.select(KEY, "sample_idx", "t", *values), run, "sample_idx long, t double, " + ", ".join(f"{v} double" for v in values), forgotten(sos))
 
 
 def _axes(data: pa.Table) -> np.ndarray:
     return np.stack([data[a].to_numpy() for a in ("ax", "ay", "az")], axis=1)
 
 
-def _epoch_means(v: np.ndarray, length: int) -> dict:
-    n = len(v) // length
-    return {"epoch": np.arange(n), "metric": v[: n * length].reshape(n, length).mean(axis=1)}
+def _each_sample(df: DataFrame, f, margin: int) -> DataFrame:
+    """f(three axes) -> x of each sample; recordings too short for it give no rows."""
+
+    def run(data, lo, hi):
+        try:
+            x = f(_axes(data))[lo:hi]
+        except ValueError:
+            x, hi = np.zeros(0), lo
+        return {"sample_idx": data["sample_idx"].to_numpy()[lo:hi], "x": x}
+
+    return per_part(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "sample_idx long, x double", margin)
+
+
+def _smooth(sos: np.ndarray, a: np.ndarray) -> np.ndarray:
+    return np.stack([dsp.zero_phase(sos, a[:, k]) for k in range(a.shape[1])], axis=1)
 
 
 def filtered_metric(df: DataFrame, fs: float, length: int, name: str, low: float = 0.2, high: float = 15.0, order: int = 4) -> DataFrame:
@@ -126,31 +172,17 @@ def filtered_metric(df: DataFrame, fs: float, length: int, name: str, low: float
     half = fs / 2
     sos = {"bfen": lambda: [dsp.butterworth(order, (low / half, high / half), "band")], "hfen": lambda: [dsp.butterworth(order, low / half, "high")], "hfenplus": lambda: [dsp.butterworth(order, low / half, "high"), dsp.butterworth(order, low / half, "low")]}[name]()
 
-    def run(data):
-        a = _axes(data)
-        try:
-            parts = [np.linalg.norm(np.stack([dsp.zero_phase(s, a[:, k]) for k in range(3)], axis=1), axis=1) for s in sos]
-        except ValueError:
-            return _epoch_means(np.zeros(0), length)
-        return _epoch_means(np.maximum(sum(parts) - 1, 0) if len(parts) > 1 else parts[0], length)
+    def each(a):
+        parts = [np.linalg.norm(_smooth(s, a), axis=1) for s in sos]
+        return np.maximum(sum(parts) - 1, 0) if len(parts) > 1 else parts[0]
 
-    return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "epoch long, metric double")
+    return epochs(_each_sample(df, each, forgotten(*sos)), length, F.avg("x").alias("metric"))
 
 
 def activity_index(df: DataFrame, fs: float, length: int, cutoff: float = 0.25) -> DataFrame:
     """Per epoch: root of the mean over samples of the variance across axes of the high-passed signal."""
     sos = dsp.butterworth(3, cutoff / (fs / 2), "high")
-
-    def run(data):
-        a = _axes(data)
-        try:
-            a = np.stack([dsp.zero_phase(sos, a[:, k]) for k in range(3)], axis=1)
-        except ValueError:
-            return _epoch_means(np.zeros(0), length)
-        out = _epoch_means(a.var(axis=1), length)
-        return out | {"metric": np.sqrt(out["metric"])}
-
-    return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "epoch long, metric double")
+    return epochs(_each_sample(df, lambda a: _smooth(sos, a).var(axis=1), forgotten(sos)), length, F.sqrt(F.avg("x")).alias("metric"))
 
 
 # Numerator and denominator of the counts' band-pass filter at 30 Hz.
@@ -160,45 +192,54 @@ COUNTS_OUT = (1.0, -3.63367395910957, 5.03689812757486, -3.09612247819666, 0.506
 
 def activity_counts(df: DataFrame, fs: float, seconds: int = 60) -> DataFrame:
     """Counts of each axis by epoch, from samples at 30 Hz (resampled if fs differs, low-passed before if it is larger)."""
-    low = dsp.chebyshev_low(8, 0.05, (1.0 if fs % 30 else 0.8) * 30 / fs) if fs > 30 else None
+    if fs != 30.0:
+        from kinelake.operators.timeline import resampled
+
+        df = resampled(df.withColumn("t", F.col("sample_idx") / F.lit(float(fs))), ["ax", "ay", "az"], fs, 30.0)
     f = dsp.Recursion.transfer(np.array(COUNTS_IN), np.array(COUNTS_OUT))
 
-    def run(data):
-        a = _axes(data)
-        if low is not None and len(a) > 27:  # shorter ones fill no second
-            a = np.stack([dsp.zero_phase(low, a[:, k]) for k in range(3)], axis=1)
-        if fs != 30.0:
-            at = np.arange(0, (len(a) - 1) / fs, 1 / 30)
-            a = np.stack([np.interp(at, np.arange(len(a)) / fs, a[:, k]) for k in range(3)], axis=1)
-        out = {"epoch": None}
+    def run(data, lo, hi):
+        a, n = _axes(data), (hi - lo) // 3  # three samples make a count
+        out = {"sample_idx": data["sample_idx"].to_numpy()[lo:hi][: 3 * n : 3] // 3}
         for k, name in enumerate("xyz"):
             y = np.abs(f(a[:, k], f.steady() * a[0, k])) * (3 / 4096) / (2.6 / 256) * 237.5 if len(a) else a[:, k]
             y = np.floor(np.minimum(np.where(y < 4, 0, y), 128))
-            y = y[: len(y) // 3 * 3].reshape(-1, 3).mean(axis=1)
-            n = len(y) // (10 * seconds)
-            out[f"counts_{name}"] = np.round(y[: n * 10 * seconds].reshape(n, -1).sum(axis=1), 6)
-            out["epoch"] = np.arange(n)
+            out[name] = y[lo : lo + 3 * n].reshape(n, 3).mean(axis=1)
         return out
 
-    return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "epoch long, counts_x double, counts_y double, counts_z double")
+    tenths = per_part(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "sample_idx long, x double, y double, z double", forgotten(np.array(COUNTS_OUT)), 3)
+    return epochs(tenths, 10 * seconds, *[F.round(F.sum(c), 6).alias(f"counts_{c}") for c in "xyz"])
 
 
 def motion(df: DataFrame, fs: float, cutoff: float = 6.0, order: int = 6, limit: float = 0.02256) -> DataFrame:
     """Whether each second moves: the coefficient of variation of the low-passed magnitude exceeds the limit throughout."""
     sos, w = dsp.butterworth(order, cutoff / (fs / 2), "low"), int(fs)
 
-    def run(data):
-        m = np.linalg.norm(_axes(data), axis=1)
+    def each(a):
+        view = np.lib.stride_tricks.sliding_window_view(dsp.zero_phase(sos, np.linalg.norm(a, axis=1)), w)
+        return view.std(axis=1, ddof=1) / (view.mean(axis=1) + 1e-12) > limit, np.zeros(len(a) // w * w, bool)
+
+    return _each_second(df, each, w, forgotten(sos), 1.0)
+
+
+def _each_second(df: DataFrame, f, w: int, margin: int, share: float) -> DataFrame:
+    """Whether `share` of the moving seconds that begin in a second are hits, or the second is one itself.
+
+    f(three axes) -> hits of moving seconds, and of samples whose second is a hit.
+    Seconds whose moving ones go beyond the recording have no row.
+    """
+
+    def run(data, lo, hi):
         try:
-            y = dsp.zero_phase(sos, m)
-            view = np.lib.stride_tricks.sliding_window_view(y, w)
+            moving, fixed = f(_axes(data)[lo % w :])
         except ValueError:
-            return {"second": np.zeros(0, np.int64), "moving": np.zeros(0, bool)}
-        hit = view.std(axis=1, ddof=1) / (view.mean(axis=1) + 1e-12) > limit
-        n = len(hit) // w
-        return {"second": np.arange(n), "moving": hit[: n * w].reshape(n, w).all(axis=1)}
+            moving, fixed = np.zeros(0, bool), np.zeros(0, bool)
+        at = lo - lo % w
+        n = max(0, min(len(moving) - at, hi - lo) // w)
+        hit = moving[at : at + n * w].reshape(n, w).mean(axis=1) >= share
+        return {"second": data["sample_idx"].to_numpy()[lo : lo + n * w : w] // w, "moving": hit | fixed[at : at + n * w : w][:n]}
 
-    return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "second long, moving boolean")
+    return per_part(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "second long, moving boolean", margin + 2 * w, w)
 
 
 def motion_by_deviation(df: DataFrame, fs: float = 20.0, low: float = 3.0, low_order: int = 6, high: float = 0.25, high_order: int = 1, variation: float = 0.41, deviation: float = 0.013) -> DataFrame:
@@ -213,21 +254,15 @@ def motion_by_deviation(df: DataFrame, fs: float = 20.0, low: float = 3.0, low_o
         raise ValueError(f"motion needs 20 Hz, not {fs}")
     sections, w = (dsp.butterworth(low_order, low / (fs / 2), "low"), dsp.butterworth(high_order, high / (fs / 2), "high")), int(fs)
 
-    def run(data):
-        a = _axes(data)
-        try:
-            y = np.linalg.norm(a, axis=1)
-            for sos in sections:
-                y = dsp.zero_phase(sos, y)
-            view = np.lib.stride_tricks.sliding_window_view(y, w)
-        except ValueError:
-            return {"second": np.zeros(0, np.int64), "moving": np.zeros(0, bool)}
+    def each(a):
+        y, n = np.linalg.norm(a, axis=1), len(a) // w
+        for sos in sections:
+            y = dsp.zero_phase(sos, y)
+        view = np.lib.stride_tricks.sliding_window_view(y, w)
         vary = view.std(axis=1, ddof=1) / (np.abs(view.mean(axis=1)) + 0.01) >= variation
-        n = len(vary) // w
-        still = a[: n * w].reshape(n, w, 3).std(axis=1, ddof=1).max(axis=1) < deviation
-        return {"second": np.arange(n), "moving": (vary[: n * w].reshape(n, w).mean(axis=1) >= 0.5) | ~still}
+        return vary, np.repeat(a[: n * w].reshape(n, w, 3).std(axis=1, ddof=1).max(axis=1) >= deviation, w)
 
-    return per_recording(df.select(KEY, "sample_idx", "ax", "ay", "az"), run, "second long, moving boolean")
+    return _each_second(df, each, w, forgotten(*sections), 0.5)
 
 
 def moving_bouts(seconds: DataFrame, fs: float) -> DataFrame:
@@ -335,8 +370,6 @@ def calibration(df: DataFrame, length: int, still: float = 0.013, **fit) -> Data
 
     Windows are averaged by Spark first, so the kernel sees a few rows an hour.
     """
-    from kinelake.operators.windows import epochs
-
     stats = [f(a).alias(f"{n}_{a}") for n, f in (("m", F.avg), ("s", F.stddev_samp)) for a in ("ax", "ay", "az")]
     has = "temperature" in df.columns
     e = epochs(df if has else df.withColumn("temperature", F.lit(0.0)), length, F.avg("temperature").alias("temp"), *stats)

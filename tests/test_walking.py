@@ -177,3 +177,38 @@ def test_strides_may_repeat_contacts():
     first, final = np.array([0, 10, 30, 60]), np.array([5, 35, 40, 65, 90])
     strict, free = detectors.strides_of(first, final, 50.0, 0.5), detectors.strides_of(first, final, 50.0, 0.5, 2.25, 0.2, strict=False)
     assert all(fc > opp > ic for ic, fc, opp, _ in strict + free) and len(free) >= len(strict)
+
+
+def test_parts_of_a_recording_equal_the_whole(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 5003
+    a = np.cumsum(rng.normal(0, 0.05, (n, 3)), axis=0) * 0.2 + rng.normal(0, 0.3, (n, 3)) + [0, 0, 1]
+    a[1500:2500] = [0, 0, 1] + rng.normal(0, 1e-3, (1000, 3))
+    df = samples(spark, t=np.arange(n) / 50, ax=a[:, 0], ay=a[:, 1], az=a[:, 2], x=a[:, 0])
+    results = {
+        "filtered": lambda: kernels.filtered(df, "recording_id", 50.0, 4, 5.0, "low"),
+        "low_passed": lambda: kernels.low_passed(df, ["ax", "ay"], 0.4),
+        **{m: (lambda m=m: kernels.filtered_metric(df, 50.0, 25, m)) for m in ("bfen", "hfen", "hfenplus")},
+        "index": lambda: kernels.activity_index(df, 50.0, 50, 1.0),
+        "counts": lambda: kernels.activity_counts(df, 30.0, 1),
+        "counts_50": lambda: kernels.activity_counts(df, 50.0, 1),
+        "motion": lambda: kernels.motion(df, 50.0),
+        "deviation": lambda: kernels.motion_by_deviation(df, 50.0, high=1.0, variation=2.0, deviation=0.3),
+        "windows": lambda: classifiers._magnitudes(df, lambda m: dsp.zero_phase(dsp.butterworth(1, (0.05, 0.2), "band"), m), 60, 700),
+    }
+    whole = {k: f().toPandas() for k, f in results.items()}
+    monkeypatch.setattr(kernels, "PART", 700)
+    for k, f in results.items():
+        by = [c for c in ("sample_idx", "epoch", "second") if c in whole[k]]
+        one, many = (x.sort_values(by).reset_index(drop=True) for x in (whole[k], f().toPandas()))
+        assert len(one) == len(many) > 50 and (one[by] == many[by]).all().all(), k
+        for c in one.columns.difference([*by, "recording_id"]):
+            assert np.allclose(one[c].astype(float), many[c].astype(float), rtol=1e-8, atol=1e-8), (k, c)
+
+
+def test_memory_of_filters():
+    sos = dsp.butterworth(4, 0.1, "low")
+    x = np.zeros(4000)
+    x[0] = 1
+    y = dsp.Recursion.sections(sos)(x)
+    assert np.abs(y[kernels.forgotten(sos) :]).max() < 1e-12 * np.abs(y).max()
