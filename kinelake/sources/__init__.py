@@ -6,8 +6,9 @@ from pyspark.sql import SparkSession
 
 from kinelake.sources.avro import EmpaticaSource
 from kinelake.sources.binary import AxivitySource, GeneActivSource, NumpySource
+from kinelake.sources.hdf5 import ApdmSource
 
 
 def register(spark: SparkSession) -> None:
-    for source in (AxivitySource, EmpaticaSource, GeneActivSource, NumpySource):
+    for source in (ApdmSource, AxivitySource, EmpaticaSource, GeneActivSource, NumpySource):
         spark.dataSource.register(source)
