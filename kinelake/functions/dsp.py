@@ -291,6 +291,24 @@ def daubechies(moments: int) -> np.ndarray:
     return taps * math.sqrt(2) / taps.sum()
 
 
+# Low-pass reconstruction taps of the coiflet with eight vanishing moments.
+COIFLET_4 = (
+    0.0008923136685823146, -0.0016294920126017326, -0.0073461663276420815, 0.016068943964776348, 0.026682300156053072, -0.08126669968087875,
+    -0.05607731331675481, 0.41530840703043026, 0.7822389309206135, 0.4343860564914685, -0.06662747426342504, -0.09622044203398831,
+    0.03933442712333749, 0.025082261844864097, -0.015211731527946259, -0.00565828668661072, 0.003751436157278457, 0.0012665619292980445,
+    -0.0005890207562443383, -0.00025997455248771324, 6.233903446100713e-05, 3.1229875865345646e-05, -3.2596802368833675e-06, -1.7849850030882614e-06,
+)
+
+
+def wavelet(name: str) -> np.ndarray:
+    """Low-pass reconstruction taps of coif4, or of dbN for N vanishing moments."""
+    if name == "coif4":
+        return np.array(COIFLET_4)
+    if name.startswith("db") and name[2:].isdigit() and int(name[2:]):
+        return daubechies(int(name[2:]))
+    raise ValueError(f"unknown wavelet: {name}")
+
+
 def wavelet_levels(x: np.ndarray, taps: np.ndarray, levels: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Approximation and details (coarsest first), ends extended by half-sample symmetry."""
     low, high = taps[::-1], taps * np.where(np.arange(len(taps)) % 2, 1, -1)

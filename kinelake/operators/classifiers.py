@@ -83,13 +83,10 @@ def walking_features(df: DataFrame, fs: float) -> DataFrame:
     return _together(parts, WALKING)
 
 
-def ambulation_features(df: DataFrame, moments: int = 4) -> DataFrame:
-    """recording_id, window and the features AMBULATION of three-second windows at 20 Hz, each high-passed on its own.
-
-    Wavelet details use Daubechies taps of so many vanishing moments.
-    """
+def ambulation_features(df: DataFrame) -> DataFrame:
+    """recording_id, window and the features AMBULATION of three-second windows at 20 Hz, each high-passed on its own."""
     fs, length = 20.0, 60
-    high, taps = dsp.butterworth(1, 0.25 / (fs / 2), "high"), dsp.daubechies(moments)
+    high, taps = dsp.butterworth(1, 0.25 / (fs / 2), "high"), dsp.wavelet("coif4")
     each = lambda m: np.concatenate([np.zeros(0), *(dsp.zero_phase(high, w) for w in m[: len(m) // length * length].reshape(-1, length))])
     w = _windows(_magnitudes(df, each, length, 0), length)
     bank = ft.Bank(

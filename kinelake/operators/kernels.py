@@ -98,13 +98,12 @@ def sample_entropy(df: DataFrame, key: str, m: int, r: float) -> DataFrame:
     return out.withColumn("sample_entropy", F.nanvl("sample_entropy", F.lit(None).cast("double")))
 
 
-def detail_power(df: DataFrame, key: str, fs: float, moments: int = 4) -> DataFrame:
-    """Power of wavelet details and its share of all, with Daubechies taps of so many vanishing moments."""
-    taps = dsp.daubechies(moments)
+def detail_power(df: DataFrame, key: str, fs: float, wavelet: str = "coif4", band: tuple[float, float] = (1.0, 3.0), ratio_band: tuple[float, float] = (1.0, 10.0)) -> DataFrame:
+    """Power of wavelet details in one band (Hz), and the share of all power in details of another."""
+    taps = dsp.wavelet(wavelet)
 
     def run(x):
-        both = np.array([dsp.detail_power(row, fs, taps) for row in x]).reshape(-1, 2)
-        return {"detail_power": both[:, 0], "detail_power_ratio": both[:, 1]}
+        return {"detail_power": np.array([dsp.detail_power(row, fs, taps, *band)[0] for row in x]), "detail_power_ratio": np.array([dsp.detail_power(row, fs, taps, *ratio_band)[1] for row in x])}
 
     return per_window(df, key, run, "detail_power double, detail_power_ratio double")
 

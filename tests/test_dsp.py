@@ -97,3 +97,16 @@ def test_sphere():
     got_offset, got_scale, _, done = dsp.fit_sphere(raw, rng.normal(25, 2, 400))
     assert done and np.allclose(got_scale, scale, rtol=1e-3) and np.allclose(got_offset, offset, atol=1e-3)
     assert not dsp.fit_sphere(np.abs(raw), np.zeros(400))[3]
+
+
+def test_coiflet_taps():
+    h = dsp.wavelet("coif4")
+    assert np.isclose(h.sum(), np.sqrt(2)) and all(abs(h[2 * k :] @ h[: len(h) - 2 * k] - (k == 0)) < 1e-9 for k in range(12))
+    n = np.arange(24) / 10
+    assert all(abs((h * (-1.0) ** np.arange(24)) @ n**p) < 1e-9 for p in range(8))  # vanishing moments of the wavelet
+    assert all(abs(h @ (n - 0.8) ** p) < 1e-9 for p in range(1, 8))  # and of the scaling function
+    x = np.random.default_rng(0).normal(size=100)
+    assert np.allclose(dsp.from_levels(*dsp.wavelet_levels(x, h, 3), h)[: len(x)], x)
+    assert np.array_equal(dsp.wavelet("db4"), dsp.daubechies(4))
+    with pytest.raises(ValueError):
+        dsp.wavelet("db0")
