@@ -23,6 +23,11 @@ def _sorted(data: pa.Table) -> pa.Table:
     return data.sort_by("sample_idx")
 
 
+def _key_type(kind: pa.DataType) -> pa.DataType:
+    """The type of a key as a declared schema has it: parts of a struct may be null."""
+    return pa.struct([pa.field(f.name, f.type) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def per_recording(df: DataFrame, f, schema: str) -> DataFrame:
     """f(key, table in sample order) -> dict of columns, for each recording.
 
@@ -32,7 +37,7 @@ def per_recording(df: DataFrame, f, schema: str) -> DataFrame:
     def run(key, data):
         out = f(_sorted(data))
         n = len(next(iter(out.values()))) if out else 0
-        return pa.table({KEY: pa.array([key[0].as_py()] * n, data.schema.field(KEY).type), **{k: pa.array(v) for k, v in out.items()}})
+        return pa.table({KEY: pa.array([key[0].as_py()] * n, _key_type(data.schema.field(KEY).type)), **{k: pa.array(v) for k, v in out.items()}})
 
     kind = dict(df.dtypes)[KEY]
     return df.groupBy(KEY).applyInArrow(run, f"{KEY} {kind}, {schema}")
@@ -61,7 +66,7 @@ def per_part(df: DataFrame, f, schema: str, margin: int, multiple: int = 1) -> D
         lo, hi = np.searchsorted(at, (key[1].as_py() * size, (key[1].as_py() + 1) * size)).tolist()
         out = f(data, lo, hi) if hi > lo else f(data.slice(0, 0), 0, 0)
         n = len(next(iter(out.values())))
-        return pa.table({KEY: pa.array([key[0].as_py()] * n, data.schema.field(KEY).type), **{k: pa.array(v) for k, v in out.items()}})
+        return pa.table({KEY: pa.array([key[0].as_py()] * n, _key_type(data.schema.field(KEY).type)), **{k: pa.array(v) for k, v in out.items()}})
 
     kind = dict(df.dtypes)[KEY]
     return df.withColumn("_part", F.explode(parts)).groupBy(KEY, "_part").applyInArrow(run, f"{KEY} {kind}, {schema}")
@@ -79,7 +84,7 @@ def per_window(df: DataFrame, key: str, f, schema: str, size: int | None = None)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 x = np.array([batch.column("_w")[int(i)].as_py() for i in rows], float)
-                yield pa.record_batch({key: batch.column(key).take(pa.array(rows)), **{k: pa.array(v) for k, v in f(x).items()}})
+                yield pa.record_batch({key: batch.column(key).take(pa.array(rows)).cast(_key_type(batch.schema.field(key).type)), **{k: pa.array(v) for k, v in f(x).items()}})
 
     return arrays.mapInArrow(run, f"{key} {kind}, {schema}")
 

@@ -29,15 +29,19 @@ def rest_threshold(df: DataFrame, value: str, percentile: float = 0.10, factor:
     return df.groupBy(KEY).agg(F.least(F.greatest(p * factor, F.lit(lowest)), F.lit(highest)).alias("threshold"))
 
 
-def sleep_opportunity(angles: DataFrame, smooth: int = 60, rest: int = 360, pause: int = 720, half: int = 30, **threshold) -> DataFrame:
+def sleep_opportunity(angles: DataFrame, smooth: int = 60, rest: int = 360, pause: int = 720, half: int = 30, allowed: DataFrame | None = None, **threshold) -> DataFrame:
     """The longest rest: recording_id, start_idx, stop_idx in windows of `angles` (sample_idx, angle).
 
     Median-smoothed changes of angle under the threshold are rest; rests under
     `rest` windows and breaks under `pause` go; ends move by half a smoothing window.
+    allowed: the windows (recording_id, sample_idx) that may be rest, if not all.
     """
     change = F.coalesce(F.abs(F.col("angle") - F.lag("angle").over(ordered(angles))), F.lit(0.0))
     d = moving(angles.select(KEY, "sample_idx", change.alias("d")), "d", smooth, 1, ["median"])
-    marked = d.join(rest_threshold(d, "median", **threshold), KEY).select(KEY, "sample_idx", F.when(F.col("median") < F.col("threshold"), 1).otherwise(0).alias("s"))
+    low = F.col("median") < F.col("threshold")
+    if allowed is not None:
+        d, low = d.join(allowed.select(KEY, "sample_idx", F.lit(True).alias("_ok")), [KEY, "sample_idx"], "left"), low & F.col("_ok").isNotNull()
+    marked = d.join(rest_threshold(d, "median", **threshold), KEY).select(KEY, "sample_idx", F.when(low, 1).otherwise(0).alias("s"))
     kept = drop_short(marked, "s", rest, 1, 0).withColumnRenamed("new_state", "s")
     kept = drop_short(kept, "s", pause, 0, 1).withColumnRenamed("new_state", "s")
     return longest(kept, "s", 1).select(KEY, (F.col("start_idx") + half).alias("start_idx"), (F.col("stop_idx") + half).alias("stop_idx"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinelake.functions import axes, features
 from kinelake.functions.cutpoints import level_range
 from kinelake.functions.fragmentation import fragmentation
-from kinelake.operators import activity, classifiers, detectors, gait, gait_kernels, intervals, kernels, sleep, timeline, walking, wear, windows
+from kinelake.operators import activity, classifiers, days, detectors, gait, gait_kernels, intervals, kernels, sleep, timeline, walking, wear, windows
 from kinelake.plans import signals as sg
 from kinelake.plans.signals import RUNS, SERIES, STATES, STRIDES, TRIAX, WINDOWS
 
@@ -670,3 +670,35 @@ _add("gait_vertical_strides", lambda s, d: _rounded(walking.walking_strides(walk
 _add("gait_legacy_strides", lambda s, d: _rounded(walking.legacy_strides(_raw_walks(s, d), 20.0, cutoff=8.0)))
 _add("walking_features", lambda s, d: _rounded(classifiers.walking_features(sg.triax(s, d), 20.0)))
 _add("ambulation_features", lambda s, d: _rounded(classifiers.ambulation_features(sg.triax(s, d))))
+
+
+# -- days -------------------------------------------------------------------
+
+
+def _days(s, d, length):
+    """Days of so many samples."""
+    n = sg.triax(s, d).groupBy("recording_id").agg((F.max("sample_idx") + 1).alias("n"))
+    each = n.select("recording_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / length))).alias("k"))
+    return each.select("recording_id", (F.col("k") + 1).cast("int").alias("day_n"), (F.col("k") * length).alias("start_idx"), F.least("n", (F.col("k") + 1) * length).alias("stop_idx"))
+
+
+def _spans(s, d, condition):
+    state = sg.triax(s, d).select("recording_id", "sample_idx", F.when(condition, 1).otherwise(0).alias("state"))
+    return intervals.runs(state, "state").filter("state = 1").select("recording_id", "start_idx", "stop_idx")
+
+
+_PARTS = f"""WITH {TRIAX}, f AS (SELECT recording_id, sample_idx, sample_idx // 200 AS d, CASE WHEN temperature > 21 AND NOT ax > 0.9 THEN 1 ELSE 0 END AS ok FROM triax),
+g AS (SELECT *, sample_idx - row_number() OVER (PARTITION BY recording_id, d ORDER BY sample_idx) AS island FROM f WHERE ok = 1)
+SELECT recording_id, CAST(d + 1 AS INTEGER) AS day_n, min(sample_idx) AS start_idx, max(sample_idx) + 1 AS stop_idx FROM g GROUP BY recording_id, d, island"""
+_add("day_wear_not_sleep", lambda s, d: days.segments(_days(s, d, 200), [_spans(s, d, F.col("temperature") > 21)], [_spans(s, d, F.col("ax") > 0.9)]), _PARTS)
+_add(
+    "daily_activity",
+    lambda s, d: _rounded(days.daily_activity(sg.triax(s, d), _days(s, d, 200), 1.0, cutpoints="migueles_wrist_adult", least_wear=0.0).select("recording_id", "day_n", *[f"{v}_minutes" for v in ("sed", "light", "mod", "vig", "mvpa")])),
+    f"""WITH {TRIAX}, n AS (SELECT *, sample_idx // 200 AS d, sample_idx % 200 AS i, count(*) OVER (PARTITION BY recording_id, sample_idx // 200) AS n FROM triax),
+e AS (SELECT recording_id, d, i // 5 AS epoch, avg(greatest({_MAG} - 1, 0)) AS metric FROM n WHERE n > 60 GROUP BY recording_id, d, i // 5 HAVING count(*) = 5),
+c AS (SELECT recording_id, d, {', '.join(f"sum(CASE WHEN metric >= {level_range(v, 'migueles_wrist_adult')[0]} AND metric < {level_range(v, 'migueles_wrist_adult')[1]} THEN 1 ELSE 0 END) / 12.0 AS {v}" for v in ('sed', 'light', 'mod', 'vig', 'mvpa'))} FROM e GROUP BY recording_id, d),
+k AS (SELECT DISTINCT recording_id, d FROM n)
+SELECT k.recording_id, CAST(k.d + 1 AS INTEGER) AS day_n, {', '.join(f'round({v}, 6) AS {v}_minutes' for v in ('sed', 'light', 'mod', 'vig', 'mvpa'))} FROM k LEFT JOIN c ON k.recording_id = c.recording_id AND k.d = c.d""",
+)
+_add("daily_sleep", lambda s, d: _rounded(days.daily_sleep(sg.triax(s, d), _days(s, d, 400), 0.2, least_hours=0.0, smooth=4, rest=3, pause=2, half=2, percentile=0.5, factor=1.0, lowest=0.0, highest=90.0)))
+_add("daily_gait", lambda s, d: _rounded(days.daily_gait(sg.triax(s, d), _days(s, d, 600), 20.0, 0.9, events="vertical")))

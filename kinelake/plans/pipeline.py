@@ -110,3 +110,29 @@ def wear_temperature(recording: Recording, length: int) -> Recording:
     from kinelake.operators.wear import temperature_wear
 
     return recording.with_table("wear", temperature_wear(recording["samples"], length))
+
+
+@step
+def activity_days(recording: Recording, fs: float, cutpoints: str = "migueles_wrist_adult", seconds: float = 5.0, least_wear: float = 10.0) -> Recording:
+    """Reads samples, days and, where a step has made them, wear and sleep."""
+    from kinelake.operators.days import daily_activity
+
+    t = recording.tables
+    return recording.with_table("activity", daily_activity(recording["samples"], recording["days"], fs, t.get("wear"), t.get("sleep"), cutpoints, seconds, least_wear))
+
+
+@step
+def sleep_days(recording: Recording, fs: float, least_hours: float = 6.0, least_wear: float = 0.0) -> Recording:
+    """Reads samples, days and wear if there; makes sleep_days, and the opportunities as sleep."""
+    from kinelake.operators.days import daily_sleep
+
+    nights = daily_sleep(recording["samples"], recording["days"], fs, recording.tables.get("wear"), least_hours, least_wear)
+    return recording.with_table("sleep_days", nights).with_table("sleep", nights.filter("start_idx is not null").select("recording_id", "start_idx", "stop_idx"))
+
+
+@step
+def gait_days(recording: Recording, fs: float, leg: float, events: str = "forward") -> Recording:
+    """Reads samples, days and bouts if there; makes strides."""
+    from kinelake.operators.days import daily_gait
+
+    return recording.with_table("strides", daily_gait(recording["samples"], recording["days"], fs, leg, recording.tables.get("bouts"), events))
