@@ -110,14 +110,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Bytes of an Arrow batch; texts are long, and several batches are in memory on both sides.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch; texts are long, and several batches are in memory on both sides.  Operators that need no
+#: larger block take BRIEF ones.
+BATCH_BYTES, BRIEF = 8 << 20, 2 << 20
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df; its session sends Python batches of BATCH_BYTES at most from now on."""
+def in_small_batches(df: DataFrame, most: int = BATCH_BYTES) -> DataFrame:
+    """df; its session sends Python batches of that many bytes at most from now on."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    conf.set(name, f"{BATCH_BYTES}b")
+    conf.set(name, f"{most}b")
     return df
 
 

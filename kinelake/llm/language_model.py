@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.byte_bpe import BLOCK_BYTES, BUCKET_WORDS, block_of, dealt, in_order, words_of
+from kinelake.llm.byte_bpe import BUCKET_WORDS, block_of, dealt, in_order, words_of
 from kinelake.llm.common import NO_ID, binaries, checkpointed, expand, gathered, group_count, ids, packed, pieces, reused_memory, squeeze, table, text_bytes
 from kinelake.llm.gru import Adam, Gru, lanes_of
 from kinelake.llm.labelled import remainder
@@ -45,6 +45,8 @@ HEAD, HIDDEN, SUFFIXES = 2048, 32, 16
 #: A block is read in LANES lanes, or in fewer (FEWEST at least) where that gives STEPS windows.
 ROUNDS, STEPS, LANES, FEWEST, WINDOW, RATE = 4, 150, 256, 32, 32, 0.01
 SCORE_LANES, SCORE_WINDOW, UNIGRAM = 256, 64, 0.05
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 #: The end of a document as a word; no word has a space.
 END = b" "
 

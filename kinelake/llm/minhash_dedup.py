@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import NO_ID, checkpointed, gathered, ids, in_small_batches, packed, pieces, table, tidied
+from kinelake.llm.common import BRIEF, NO_ID, checkpointed, gathered, ids, in_small_batches, packed, pieces, table, tidied
 from kinelake.llm.components import connected_components
 from kinelake.llm.textkernels import mix, shingle_sets
 
@@ -130,7 +130,7 @@ def features(docs: DataFrame, words: int = WORDS, bands: int = BANDS, depth: int
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1) * bands, pa.int32()), pa.array(hashes.ravel()))
             yield pa.record_batch({"doc_id": pa.array(doc, mask=doc == NO_ID), "v": pa.array(name), "n": pa.array(np.diff(at)), "set_id": pa.array(set_ids, pa.binary()), "bands": lists})
 
-    return _named(in_small_batches(docs)).mapInArrow(tidied(run), FEATURES)
+    return _named(in_small_batches(docs, BRIEF)).mapInArrow(tidied(run), FEATURES)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:

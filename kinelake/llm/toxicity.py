@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinelake.llm.common import expand, in_small_batches, packed, pieces, squeeze, table, tidied
+from kinelake.llm.common import BRIEF, expand, in_small_batches, packed, pieces, squeeze, table, tidied
 from kinelake.llm.labelled import remainder, with_label
 from kinelake.llm.textkernels import _FOLD, mix, word_hashes
 
@@ -242,7 +242,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, calibration_rows: int = CALIBRATION_ROWS) -> Model:
     """Learns from the labelled rows that satisfy train (on doc_id of labels)."""
-    fold = remainder(F.col("doc_id"), 20) < 15
+    docs, fold = in_small_batches(docs, BRIEF), remainder(F.col("doc_id"), 20) < 15
 
     def count(rows: Column) -> Scores:
         counted = with_label(docs, labels, "toxic", rows)
@@ -292,7 +292,7 @@ def toxic_passages(docs: DataFrame, model: Model) -> DataFrame:
             passages = [[{"start": int(begin[a]), "stop": int(end[b - 1]), "score": v, "expected": float(np.exp(-x))} for a, b, v, x in hits] for hits, begin, end in found]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(law.score(best, n, significant)), "passages": pa.array(passages, _PASSAGES)})
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), RESULT)
+    return in_small_batches(docs, BRIEF).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), RESULT)
 
 
 def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
@@ -306,7 +306,7 @@ def without_toxic(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
             score = law.score(best, n, significant)
             yield batch.filter(pa.array(score < cut))
 
-    return in_small_batches(docs).mapInArrow(tidied(run), docs.schema)
+    return in_small_batches(docs, BRIEF).mapInArrow(tidied(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
