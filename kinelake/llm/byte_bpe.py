@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import array
 import base64
+import functools
 import hashlib
 import zlib
 
@@ -61,6 +62,7 @@ class Vocabulary:
 
         return tiktoken.Encoding("words", pat_str=self.pattern, mergeable_ranks=self.ranks(), special_tokens={})._core_bpe.encode_single_piece
 
+    @functools.cached_property
     def token_bytes(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all tokens one after the other, and where each id begins."""
         by_id = sorted((i, b) for b, i in self.ranks().items())
@@ -134,8 +136,17 @@ _REQUEST = pa.schema([("bucket", pa.int32()), ("g", pa.int64()), ("block", pa.bi
 REQUEST = "bucket int, g long, block binary"
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """One row a document: doc_id and ids, the token ids of its whole text."""
+def _decoded(vocabulary: Vocabulary, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of ids one after the other, for each document; ends: where the ids of each begin, and their number."""
+    values, begins = vocabulary.token_bytes
+    parts = [gathered(values, begins, ids[a : a + TOKENS].astype(np.int64)) for a in range(0, len(ids), TOKENS)]
+    body = np.concatenate([np.zeros(0, np.uint8), *(b for b, _ in parts)])
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))])[ends]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(body)]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
+    """One row a document: doc_id and ids, the token ids of its whole text; and decoded, their bytes, if asked."""
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
     blocks = group_count(text_bytes(docs), BLOCK_BYTES / 1e6)
     # each block of text brings some tens of thousands of words
@@ -166,7 +177,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         out = [squeeze(n[p], gathered(values, begins, p)[0]) for p in np.split(place, np.cumsum([len(x[0]) for x in parts])[:-1])]
         return pa.Table.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int32()), data["g"].combine_chunks(), pa.array(out, pa.binary())], schema=_REQUEST)
 
-    result = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    result = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *([("decoded", pa.binary())] if decoded else [])])
 
     def assemble(key, data, answers):
         parts = []
@@ -188,11 +199,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 flat, n = gathered(values, begins, place[seq[first[lo] : first[hi]]])
                 ends = np.concatenate([[0], np.cumsum(n)])[first[lo : hi + 1] - first[lo]]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int32)))
-                parts.append(pa.record_batch([pa.array(doc[lo:hi], pa.int64(), mask=doc[lo:hi] == NO_ID), lists], schema=result))
+                back = [_decoded(known.value, flat, ends)] if decoded else []
+                parts.append(pa.record_batch([pa.array(doc[lo:hi], pa.int64(), mask=doc[lo:hi] == NO_ID), lists, *back], schema=result))
         return pa.Table.from_batches(parts, result)
 
     replies = packs.mapInArrow(tidied(ask), REQUEST).groupBy("bucket").applyInArrow(tidied(answer), REQUEST)
-    return packs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tidied(assemble), "doc_id long, ids array<int>")
+    return packs.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tidied(assemble), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -200,17 +212,14 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     known = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def look_up(batches):
-        values, begins = known.value.token_bytes()
         for batch in batches:
             column, doc = batch.column("ids"), batch.column("doc_id")
             first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
             for lo, hi in pieces(first, TOKENS):
                 for a in range(lo, hi, ROWS):
                     b = min(a + ROWS, hi)
-                    flat, sizes = gathered(values, begins, column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
-                    ends = np.concatenate([[0], np.cumsum(sizes)])[first[a : b + 1] - first[a]]
-                    raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)])
-                    yield pa.record_batch({"doc_id": doc.slice(a, b - a), "ids": column.slice(a, b - a), "decoded": raw.cast(pa.binary())})
+                    flat = column.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                    yield pa.record_batch({"doc_id": doc.slice(a, b - a), "ids": column.slice(a, b - a), "decoded": _decoded(known.value, flat, first[a : b + 1] - first[a])})
 
     return in_small_batches(encoded).select("doc_id", "ids").mapInArrow(tidied(look_up), "doc_id long, ids array<int>, decoded binary")
 
@@ -223,7 +232,7 @@ def default_vocabulary() -> Vocabulary:
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids (decimal, joined by commas) and of the decoded bytes."""
-    out = decode(encode(docs, vocabulary), vocabulary)
+    out = encode(docs, vocabulary, decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

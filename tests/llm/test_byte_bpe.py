@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from kinelake.llm import byte_bpe as bpe
@@ -33,3 +34,16 @@ def test_small_data(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None)]])
 def test_no_text(spark, rows):
     check(spark, rows)
+
+
+def test_decoded_and_assembled_agree(spark, monkeypatch):
+    v = bpe.default_vocabulary()
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    key = lambda r: (str(r.doc_id), r.ids, bytes(r.decoded))
+    assert sorted(map(key, bpe.encode(docs, v, decoded=True).collect())) == sorted(map(key, bpe.decode(bpe.encode(docs, v), v).collect()))
+    values, begins = v.token_bytes
+    ids, ends = np.arange(300, dtype=np.uint32), np.array([0, 5, 5, 300])
+    whole = values[: begins[300]].tobytes()
+    monkeypatch.setattr(bpe, "TOKENS", 7)
+    assert bpe._decoded(v, ids, ends).to_pylist() == [whole[: begins[5]], b"", whole[begins[5] :]]
+    assert bpe._decoded(v, ids[:0], np.array([0, 0])).to_pylist() == [b""]
