@@ -12,28 +12,35 @@ from __future__ import annotations
 import numpy as np
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place, by the hyperbolic tangent of the half."""
-    x *= x.dtype.type(0.5)
-    np.tanh(x, out=x)
-    x += x.dtype.type(1)
-    x *= x.dtype.type(0.5)
-    return x
-
-
-def log_sums(logits: np.ndarray, bound: float) -> np.ndarray:
-    """Logs of the sums of exponentials of each row, which it overwrites.  bound: no logit is larger."""
-    top = logits.max(axis=1, keepdims=True) if bound > 60 else None
-    if top is not None:
-        logits -= top
+#: Rows of the output layer that are worked on at a time; their logits stay in a core's cache.
+ROWS = 1024
+
+
+def exponentials(logits: np.ndarray, target: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of each row's target, the places of the targets, and the sums of exponentials, which overwrite logits.
+
+    bound: no logit is larger; where it is large, exponentials are of the distance to the row's largest.
+    """
+    if bound > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    at = np.arange(0, logits.size, logits.shape[1]) + target
+    logp = logits.ravel()[at]
     np.exp(logits, out=logits)
-    out = np.log(logits @ np.ones(logits.shape[1], logits.dtype))
-    return out if top is None else out + top[:, 0]
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logp -= np.log(total)
+    return logp, at, total
 
 
-def _with_one(states: np.ndarray) -> np.ndarray:
-    """States with a component of 1, which takes the biases."""
-    return np.concatenate([states, np.ones((len(states), 1), states.dtype)], axis=1)
+def segment_sums(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows; begins: where each sum begins.  Short segments are added all at once, long ones each."""
+    sizes, short = np.diff(np.append(begins, len(rows))), 8
+    out = rows[begins]
+    for j in range(1, short):
+        own = np.flatnonzero((sizes > j) & (sizes <= short))
+        out[own] += rows[begins[own] + j]
+    for i in np.flatnonzero(sizes > short).tolist():
+        np.add.reduce(rows[begins[i] : begins[i] + sizes[i]], axis=0, out=out[i])
+    return out
 
 
 class Gru:
@@ -57,38 +64,37 @@ class Gru:
         for n, p in zip(self.NAMES, parameters, strict=True):
             setattr(self, n, p.reshape(getattr(self, n).shape).astype(np.float32))
 
-    def step(self, h: np.ndarray, gx: np.ndarray):
-        """The next state from the last one and the gate inputs gx."""
-        k = self.hidden
-        gh = h @ self.u
-        zr = sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = r * gh[:, 2 * k :]
-        n += gx[:, 2 * k :]
-        np.tanh(n, out=n)
-        after = h - n
-        after *= z
-        after += n
-        return after, (z, r, n, gh[:, 2 * k :])
-
     def _bound(self) -> float:
         """No logit is larger: states lie in (-1, 1)."""
         return float(max(np.abs(self.c).sum(axis=0).max(), np.abs(self.w).sum(axis=1).max(initial=0)))
 
-    def outputs(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
-        """Log-probability of each target's class and, in head classes, of the word."""
-        bound, states = self._bound(), _with_one(states)
-        logits = states @ self.c
-        logp = logits[np.arange(len(cls)), cls]
-        logp -= log_sums(logits, bound)
+    def _ordered(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray):
+        """By class: the order, states with a component of 1 for the biases, and (rows, words from, to, targets) of each piece of a layer.
+
+        Pieces of the classes' own layer have no words.
+        """
         by, runs = self._by_class(cls)
-        ordered, target, more = states[by], member[by], np.zeros(len(cls), logp.dtype)
+        ordered = np.empty((len(cls), self.hidden + 1), states.dtype)
+        ordered[:, :-1], ordered[:, -1] = np.take(states, by, axis=0), 1
+        cls, member = cls[by], member[by]
+        parts = [(slice(i, min(i + ROWS, len(cls))), None, None, cls[i : i + ROWS]) for i in range(0, len(cls), ROWS)]
         for a, b, mine in runs:
-            logits = ordered[mine] @ self.w[a:b].T
-            more[mine] = logits[np.arange(len(logits)), target[mine] - a]
-            more[mine] -= log_sums(logits, bound)
-        logp[by] += more
-        return logp
+            for i in range(mine.start, mine.stop, ROWS):
+                rows = slice(i, min(i + ROWS, mine.stop))
+                parts.append((rows, a, b, member[rows] - a))
+        return by, ordered, parts
+
+    def outputs(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray) -> np.ndarray:
+        """Log-probability of each target's class and, in head classes, of the word."""
+        bound = self._bound()
+        by, states, parts = self._ordered(states, cls, member)
+        logp = np.zeros(len(cls), states.dtype)
+        for rows, a, b, target in parts:
+            logits = states[rows] @ (self.c if a is None else self.w[a:b].T)
+            logp[rows] += exponentials(logits, target, bound)[0]
+        out = np.empty_like(logp)
+        out[by] = logp
+        return out
 
     def _by_class(self, cls: np.ndarray):
         """The order by class, and of each head class that occurs its first and last word and its run in that order."""
@@ -99,101 +105,117 @@ class Gru:
 
     def output_gradients(self, states: np.ndarray, cls: np.ndarray, member: np.ndarray):
         """As outputs(), with the gradients of minus the mean by states and by parameters."""
-        bound, each = self._bound(), np.arange(len(cls))
-
-        def residual(logits, target, rows):
-            """Log-probability of each row's target; logits become probabilities less one at the target."""
-            if bound > 60:
-                logits -= logits.max(axis=1, keepdims=True)
-            logp = logits[rows, target]
-            np.exp(logits, out=logits)
-            total = logits @ np.ones(logits.shape[1], logits.dtype)
-            logits /= total[:, None]
-            logits[rows, target] -= 1
-            return logp - np.log(total)
-
-        k, states = self.hidden, _with_one(states)
-        p = states @ self.c
-        logp = residual(p, cls, each)
-        grads = {"c": states.T @ p, "w": np.zeros_like(self.w)}
-        d = p @ np.ascontiguousarray(self.c[:k].T)
-        by, runs = self._by_class(cls)
-        ordered, target, more, back = states[by], member[by], np.zeros(len(cls), logp.dtype), np.zeros_like(d)
-        for a, b, mine in runs:
-            s, w = ordered[mine], self.w[a:b]
-            q = s @ w.T
-            more[mine] = residual(q, target[mine] - a, each[: len(q)])
-            np.matmul(q.T, s, out=grads["w"][a:b])
-            np.matmul(q, w[:, :k], out=back[mine])
-        logp[by] += more
-        d[by] += back
-        for g in (*grads.values(), d):
-            g /= len(cls)
-        return logp, d, grads
+        bound, k, kind = self._bound(), self.hidden, states.dtype.type
+        by, states, parts = self._ordered(states, cls, member)
+        logp, d = np.zeros(len(cls), states.dtype), np.zeros((len(cls), k), states.dtype)
+        c, grads = np.zeros(self.c.shape[::-1], self.c.dtype), {"w": np.zeros_like(self.w)}
+        by_class = np.ascontiguousarray(self.c[:k].T)
+        for rows, a, b, target in parts:
+            s = states[rows]
+            p = s @ (self.c if a is None else self.w[a:b].T)
+            more, at, total = exponentials(p, target, bound)
+            logp[rows] += more
+            # exponentials less their sum at the target; the sum divides what is narrower than they are
+            p.ravel()[at] -= total
+            share = (kind(1 / len(cls)) / total)[:, None]
+            back = p @ (by_class if a is None else self.w[a:b, :k])
+            back *= share
+            d[rows] += back
+            own = c if a is None else grads["w"][a:b]
+            own += p.T @ (s * share)
+        grads["c"] = np.ascontiguousarray(c.T)
+        out_logp, out = np.empty_like(logp), np.empty_like(d)
+        out_logp[by], out[by] = logp, d
+        return out_logp, out, grads
+
+    def _by_gate(self, p: np.ndarray) -> np.ndarray:
+        return p.reshape(len(p), 3, self.hidden).swapaxes(0, 1)
 
     def window(self, h: np.ndarray, tokens: np.ndarray, begins: np.ndarray, keep: bool = False):
         """States after each of tokens (time by lane); begins marks where the state is set back.
 
-        With keep, also the states before and, for each gate, what its gradient is
-        of that of the state.
+        With keep, also the states before; the gates; and, for each gate, what its
+        gradient is of that of the state.
         """
-        states, kept = np.empty((*tokens.shape, self.hidden), h.dtype), None
+        k, one = self.hidden, h.dtype.type(1)
+        x, u = (np.ascontiguousarray(self._by_gate(p)) for p in (self.x, self.u))
+        for p in (x, u):  # the first two gates are sigmoids, 1 / (1 + exp(-x))
+            np.negative(p[:2], out=p[:2])
+        gx = np.empty((3, *tokens.shape, k), x.dtype)
+        for table, given in zip(x, gx, strict=True):
+            np.take(table, tokens, axis=0, out=given, mode="clip")
+        states = np.empty((*tokens.shape, k), h.dtype)
+        gates = np.empty((len(tokens) if keep else 1, 3, tokens.shape[1], k), h.dtype)
+        n, kept = np.empty_like(h), None
         if keep:
-            kept = [np.empty_like(states) for _ in range(6)]
-        for t, gx in enumerate(self.x[tokens]):
-            if begins[t].any():
-                h = np.where(begins[t][:, None], h.dtype.type(0), h)
-            before = h
-            h, (z, r, n, ghn) = self.step(h, gx)
-            states[t] = h
-            if keep:
-                by_n, by_z, by_r = (x[t] for x in kept[:3])
-                one = h.dtype.type(1)
-                rest = np.subtract(one, z)
-                np.multiply(n, n, out=by_n)
-                np.subtract(one, by_n, out=by_n)
-                by_n *= rest
-                np.subtract(before, n, out=by_z)
-                by_z *= z
-                by_z *= rest
-                np.subtract(one, r, out=by_r)
-                by_r *= r
-                by_r *= ghn
-                kept[3][t], kept[4][t], kept[5][t] = before, z, r
+            by_n, by_z, before = (np.empty_like(states) for _ in range(3))
+            rest, kept = np.empty_like(h), (by_n, by_z, before, gates)
+        reset = begins.any(axis=1).tolist()
+        with np.errstate(over="ignore"):  # a gate of 1 / (1 + inf) is shut
+            for t in range(len(tokens)):
+                if reset[t]:
+                    h = np.where(begins[t][:, None], h.dtype.type(0), h)
+                own = gates[t if keep else 0]
+                np.matmul(h, u, out=own)
+                zr, (z, r, ghn) = own[:2], own
+                zr += gx[:2, t]
+                np.exp(zr, out=zr)
+                zr += one
+                np.reciprocal(zr, out=zr)
+                np.multiply(r, ghn, out=n)
+                n += gx[2, t]
+                np.tanh(n, out=n)
+                moved, after = by_z[t] if keep else states[t], states[t]
+                np.subtract(h, n, out=moved)
+                moved *= z
+                np.add(moved, n, out=after)
+                if keep:
+                    before[t] = h
+                    np.subtract(one, z, out=rest)
+                    moved *= rest
+                    np.multiply(n, n, out=by_n[t])
+                    np.subtract(one, by_n[t], out=by_n[t])
+                    by_n[t] *= rest
+                    np.subtract(one, r, out=rest)
+                    rest *= r
+                    ghn *= rest
+                h = after
         return states, h, kept
 
     def gradients(self, h, tokens, begins, cls, member):
         """Mean log-probability, the last state, and gradients through one window (truncated there)."""
-        states, last, (by_n, by_z, by_r, before, z, r) = self.window(h, tokens, begins, keep=True)
-        flat = states.reshape(-1, self.hidden)
-        logp, d, grads = self.output_gradients(flat, cls.ravel(), member.ravel())
-        d, k = d.reshape(states.shape), self.hidden
-        back = np.zeros_like(h)
-        # gradients of the gates' inputs, as the token gives them and as the state does
-        gx = np.empty((*tokens.shape, 3 * k), d.dtype)
-        gh = np.empty_like(gx)
-        recurrent = np.ascontiguousarray(self.u.T)
+        states, last, (by_n, by_z, before, gates) = self.window(h, tokens, begins, keep=True)
+        k = self.hidden
+        logp, d, grads = self.output_gradients(states.reshape(-1, k), cls.ravel(), member.ravel())
+        d = d.reshape(states.shape)
+        back, parts = np.zeros_like(h), np.empty((3, *h.shape), h.dtype)
+        # gradients of the last gate's input as the token gives it, of the two sigmoids', and of the last as the state gives it
+        g = np.empty((4, *states.shape), d.dtype)
+        recurrent = np.ascontiguousarray(self._by_gate(self.u).swapaxes(1, 2))
+        reset = begins.any(axis=1).tolist()
         for t in range(len(tokens) - 1, -1, -1):
-            dh = d[t]
+            dh, (z, r, by_r) = d[t], gates[t]
             dh += back
-            dn, own = gx[t, :, 2 * k :], gh[t]
+            dn, dz, dr, dnr = g[:, t]
             np.multiply(dh, by_n[t], out=dn)
-            np.multiply(dh, by_z[t], out=own[:, :k])
-            np.multiply(dn, by_r[t], out=own[:, k : 2 * k])
-            np.multiply(dn, r[t], out=own[:, 2 * k :])
-            back = own @ recurrent
-            dh *= z[t]
-            back += dh
-            if begins[t].any():
+            np.multiply(dh, by_z[t], out=dz)
+            np.multiply(dn, by_r, out=dr)
+            np.multiply(dn, r, out=dnr)
+            np.matmul(g[1:, t], recurrent, out=parts)
+            np.multiply(dh, z, out=back)
+            for part in parts:
+                back += part
+            if reset[t]:
                 back[begins[t]] = 0
-        gx[..., : 2 * k] = gh[..., : 2 * k]
-        grads["u"] = before.reshape(-1, k).T @ gh.reshape(-1, 3 * k)
-        # rows of equal tokens are summed in one pass
+        flat = g.reshape(4, -1, k)
+        grads["u"] = np.matmul(before.reshape(-1, k).T, flat[1:]).swapaxes(0, 1).reshape(k, 3 * k)
+        # rows of equal tokens are summed
         by = np.argsort(tokens.astype(np.int16), axis=None, kind="stable")
         ordered = tokens.ravel()[by]
         at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        rows = np.concatenate([np.take(flat[i], by, axis=0) for i in (1, 2, 0)], axis=1)
         grads["x"] = np.zeros_like(self.x)
-        grads["x"][ordered[at]] = np.add.reduceat(gx.reshape(-1, 3 * k)[by], at)
+        grads["x"][ordered[at]] = segment_sums(rows, at)
         return float(logp.mean()), last, [grads[n] for n in self.NAMES]
 
 

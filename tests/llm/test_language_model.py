@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
+from kinelake.llm import gru
 from kinelake.llm import language_model as lm
 from kinelake.llm.byte_bpe import words_of
 from kinelake.llm.common import NO_ID, expand
@@ -127,3 +128,36 @@ def test_blocks_hold_words_as_split():
     assert list(read(lm.blocks_of(iter([batch])))) == want
     assert list(read(lm.blocks_of(iter([batch.slice(0, 3), batch.slice(3)])))) == want
     assert list(read(lm.blocks_of(iter([batch.slice(0, 0)])))) == []
+
+
+def test_kernels_by_pieces(monkeypatch):
+    monkeypatch.setattr(gru, "ROWS", 3)  # the output layer works on pieces of so many rows
+    rng, k = np.random.default_rng(3), 4
+    m = Gru(6, k, 5, np.array([0, 2, 6]), seed=4)
+    for scale in (1, 3000):  # gates that are shut altogether
+        m.load([m.x * scale, m.u, m.c * scale, m.w])
+        tokens, first = rng.integers(0, 6, (5, 3)), rng.random((5, 3)) < 0.3
+        h = np.zeros((3, k), np.float32)
+        with np.errstate(all="raise", under="ignore"):
+            states, last, _ = m.window(h, tokens, first)
+            again = m.window(h, tokens, first, keep=True)[0]
+        x, u = m.x.astype(np.float64), m.u.astype(np.float64)
+        for t in range(5):
+            h = np.where(first[t][:, None], 0, h)
+            g, s = x[tokens[t]], h @ u
+            z, r = (0.5 + 0.5 * np.tanh((g[:, i : i + k] + s[:, i : i + k]) / 2) for i in (0, k))
+            n = np.tanh(g[:, 2 * k :] + r * s[:, 2 * k :])
+            h = n + z * (h - n)
+            assert np.allclose(states[t], h, atol=1e-5) and np.array_equal(states[t], again[t])
+        assert np.array_equal(last, states[-1])
+        flat = states.reshape(-1, k)
+        cls = rng.integers(0, 5, len(flat))
+        member = np.where(cls < 2, np.array([0, 2])[cls % 2] + rng.integers(0, 2, len(flat)), 0)
+        one = np.concatenate([flat, np.ones((len(flat), 1))], axis=1)
+        log_softmax = lambda a: a - a.max() - np.log(np.exp(a - a.max()).sum())
+        want = [log_softmax(o @ m.c)[c] + (log_softmax(m.w[m.bounds[c] : m.bounds[c + 1]] @ o)[w - m.bounds[c]] if c < 2 else 0) for o, c, w in zip(one, cls, member)]
+        assert np.allclose(m.outputs(flat, cls, member), want, rtol=1e-4, atol=1e-4)
+        assert np.allclose(m.output_gradients(flat, cls, member)[0], want, rtol=1e-4, atol=1e-4)
+    sizes = np.array([1, 8, 2, 9, 1, 30, 7])
+    rows, begins = rng.normal(size=(sizes.sum(), 2)), np.cumsum(sizes) - sizes
+    assert np.allclose(gru.segment_sums(rows, begins), np.add.reduceat(rows, begins))
